@@ -47,7 +47,7 @@ def op8_lsh_forest(spark: SparkSession, d: str) -> DataFrame:
 
 OP8 = rf"""
 with recursive w as (select doc_id, regexp_extract_all({LOW}, '{SPLIT}') as w from documents),
-sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')) end) as x from w),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as x from w),
 n as (select doc_id, count(*) as n from sh group by doc_id),
 l as (select a.doc_id as p, b.doc_id as q from sh a join sh b on a.x = b.x and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
       having 100 * count(*) >= 85 * ((select n from n where n.doc_id = a.doc_id) + (select n from n where n.doc_id = b.doc_id) - count(*))),
@@ -63,7 +63,7 @@ def op9_sign_hashing(spark: SparkSession, d: str) -> DataFrame:
 
 OP9 = """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings),
-g as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0),
+g as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
 l as (select a.vec_id as p, b.vec_id as q from g a join g b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
 r as (select vec_id, vec_id as hop from v union select r.vec_id, l.q from r join l on l.p = r.hop)
 select v.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
@@ -80,7 +80,7 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP10 = rf"""
 with w as (select doc_id, regexp_extract_all({LOW}, '{ALNUM}') as w from documents),
 b as (select item_id, regexp_extract_all({LOW}, '{ALNUM}') as w from benchmark),
-win as (select distinct item_id, k, array_to_string(x, ' ') as x from (select item_id, least(13, len(w)) as k, unnest(list_transform(range(1, greatest(2, len(w) - 11)), i -> w[i : i + least(13, len(w)) - 1])) as x from b where len(w) > 0)),
+win as (select distinct item_id, k, array_to_string(x, ' ') as x from (select item_id, least(13, len(w)) as k, unnest(list_transform(range(1, greatest(2, len(w) - 11)), lambda i: w[i : i + least(13, len(w)) - 1])) as x from b where len(w) > 0)),
 dw as (select doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') as x from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from w, (select distinct k from win))),
 hit as (select doc_id, p, dw.k, item_id from dw join win on win.k = dw.k and win.x = dw.x),
 nh as (select doc_id, count(distinct hop) as n from (select doc_id, unnest(range(p, p + k)) as hop from hit) group by doc_id),
