@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import decontam, embed, linededup, minhash, mixing
+from faultlens.llm import decontam, embed, html, langid, linededup, lm, minhash, mixing, substring, warc
 from faultlens.llm.common import table
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,6 +36,66 @@ select tr.doc_id, size, source_size, target, taken from tr join best b on tr.sou
 """
 
 
+def op2_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(table(spark, d, "pages")).drop("payload")
+
+
+OP2 = """
+with p as (select page_id, url, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first from p group by h),
+hex as (select page_id, octet_length(encode(p.h))::bigint as payload_bytes, upper(sha1(p.h)) as x, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, p.url from p join f on p.h = f.h),
+bits as (select *, list_reduce(list_transform(string_split(x, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', (strpos('0123456789ABCDEF', c) - 1) * 4 + 1, 4)), lambda a, b: a || b) as b from hex)
+select page_id, url, record_type, refers_to, payload_bytes, list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (substr(b, i * 5 + 1, 1)::int * 16 + substr(b, i * 5 + 2, 1)::int * 8 + substr(b, i * 5 + 3, 1)::int * 4 + substr(b, i * 5 + 4, 1)::int * 2 + substr(b, i * 5 + 5, 1)::int + 1)::int, 1)), lambda a, b: a || b) as payload_digest
+from bits
+"""
+
+
+def op3_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score(table(spark, d, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+OP3 = rf"""
+with d as (select doc_id, list_append(regexp_extract_all({LOW}, '{SPLIT}'), chr(10)) as w, coalesce(doc_id::varchar, '') as s from documents),
+t as (select doc_id, i, w[i] as w, case when i = 1 then chr(10) || '^' else w[i - 1] end as v, held_out from (select doc_id, w, unnest(range(1, len(w) + 1)) as i, h.held_out from d join (select doc_id, xor(list_reduce(list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda ch: ascii(ch)::bigint), lambda c, ch: list_reduce(list_prepend(xor(c, ch), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda b, i: case when b & 1 = 1 then xor(b >> 1, 3988292384) else b >> 1 end), 4294967295::bigint), 4294967295) % 10 = 0 as held_out from documents) h using (doc_id))),
+c1 as (select w, count(*) as c from t where not held_out group by w),
+nv as (select sum(c)::bigint as n, count(*) as v from c1),
+cx as (select w, c from c1 union all select chr(10) || '^', c from c1 where w = chr(10)),
+c2 as (select v, w, count(*) as c from t where not held_out group by v, w),
+k as (select dec, least({lm.HIGHEST}::double, greatest({lm.LOWEST}::double, sum(case when x > 1 and (c - 1)::double * (n - 1)::double > (cw - 1)::double * (x - 1)::double then c else 0 end)::double / sum(c)::double)) as k
+      from (select c2.c, cx.c as x, c1.c as cw, length(cx.c::varchar) - 1 as dec from c2 join cx on cx.w = c2.v join c1 on c1.w = c2.w), nv group by dec),
+p as (select t.doc_id, t.i, t.held_out, c1.c is not null as known, (coalesce(c1.c, 0)::double + {lm.ADD}::double) / (n::double + {lm.ADD}::double * (nv.v + 1)::double) as p1, cx.c as x, c2.c as c2, k.k as k
+      from t cross join nv left join c1 on c1.w = t.w left join cx on cx.w = t.v left join c2 on c2.v = t.v and c2.w = t.w left join k on k.dec = length(cx.c::varchar) - 1)
+select doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(*) filter (known) as n_known, (select n from nv) as train_tokens, round(sum(log10(p1)), 6) as base_score,
+  round(sum(case when x is null then log10(p1) when c2 is null then log10(1 - k) + log10(p1) else log10(k * c2::double / x::double + (1 - k) * p1) end), 6) as score
+from p group by doc_id
+"""
+
+
+def op4_line_hashing(spark: SparkSession, d: str) -> DataFrame:
+    return substring.dedup_passages(table(spark, d, "documents"))
+
+
+OP4 = rf"""
+with u as (select doc_id, i, line, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as lo,
+           array_to_string(regexp_extract_all(translate(line, '{UPPER}', '{SMALL}'), '{SPLIT}'), ' ') as x, len(regexp_extract_all(line, '{SPLIT}')) as n
+           from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as line from documents where text is not null)),
+r as (select *, n >= {substring.MIN_WORDS} and row_number() over (partition by x order by doc_id, i) > 1 as gone from u),
+g as (select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text, count(*) as n_units, count(*) filter (gone) as n_removed, coalesce(sum(length(line)) filter (gone), 0)::bigint as removed_chars,
+      coalesce(flatten(list([lo, lo + length(line)]::bigint[] order by i) filter (gone)), []) as spans from r group by doc_id)
+select d.doc_id, g.text, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_chars, 0) as removed_chars, coalesce(spans, []) as spans from documents d left join g on g.doc_id = d.doc_id
+"""
+
+
+def op5_tag_paths(spark: SparkSession, d: str) -> DataFrame:
+    return html.main_text(table(spark, d, "pages"))
+
+
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    model = langid.fit(table(spark, d, "documents"))
+    found = langid.identify(langid.page_rows(table(spark, d, "pages")), model, is_html=True)
+    return found.withColumnRenamed("id", "page_id").withColumn("confidence", F.round("confidence", 6))
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     got = linededup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return got.select("doc_id", F.col("kept_text").alias("text"), "n_lines", F.size("removed").alias("n_removed"), "removed")
@@ -89,5 +149,6 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(nh.n, 0)::bigint as n_hit,
 from w left join nh on nh.doc_id = w.doc_id left join ni on ni.doc_id = w.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_line_dedup, op8_lsh_forest, op9_sign_hashing, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op8_lsh_forest": OP8, "op9_sign_hashing": OP9, "op10_decontamination": OP10}
+FUNCTIONS = (op1_mixing, op2_warc, op3_lm_scoring, op4_line_hashing, op5_tag_paths, op6_line_dedup, op7_language_id, op8_lsh_forest, op9_sign_hashing, op10_decontamination)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_warc": OP2, "op3_lm_scoring": OP3, "op4_line_hashing": OP4, "op8_lsh_forest": OP8, "op9_sign_hashing": OP9, "op10_decontamination": OP10}
