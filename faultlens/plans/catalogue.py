@@ -1,10 +1,6 @@
 """All registered queries of the campaign operators."""
 
-from __future__ import annotations
+from faultlens.plans import diagnosis, graph, metrics, models, relational, rows  # noqa: F401
+from faultlens.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
