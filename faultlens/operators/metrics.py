@@ -95,9 +95,9 @@ def ranking(scored: DataFrame, score: str = "score", target: str = "target", gro
     """average_precision (stepwise), roc_auc (ties count half), brier_score; null where classes lack."""
     s = sweep(scored, score, target, groups)
     p, n = F.col("_all_p").cast("double"), F.col("_all_n").cast("double")
-    ap = F.sum(F.col("_p") / p * F.col("tp") / (F.col("tp") + F.col("fp")))
+    ap = F.sum(F.when(p > 0, F.col("_p") / p * F.col("tp") / (F.col("tp") + F.col("fp"))))
     negatives = F.col("_n") - F.col("_p")
-    area = F.sum((negatives * (F.col("tp") - F.col("_p")) + negatives * F.col("_p") / 2.0) / (p * n))
+    area = F.sum(F.when(p * n > 0, (negatives * (F.col("tp") - F.col("_p")) + negatives * F.col("_p") / 2.0) / (p * n)))
     both = (F.max("_all_p") > 0) & (F.max("_all_n") > 0)
     sq = F.pow(F.col(score) - 1, 2) * F.col("_p") + F.pow(F.col(score), 2) * negatives
     return s.groupBy(*groups).agg(F.when(F.max("_all_p") > 0, ap).alias("average_precision"), F.when(both, area).alias("roc_auc"), (F.sum(sq) / F.sum("_n")).alias("brier_score"), F.sum("_n").alias("samples"), F.sum("_p").alias("positive_samples"))

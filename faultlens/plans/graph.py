@@ -78,13 +78,14 @@ def adjacency_outbound(spark, d):
     return graph.adjacency(edges(spark, d), nodes(spark, d), "outbound").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"with {WEIGHTS}, {HOPS} select h0.node, " + ", ".join(f"round({s}{k}.{c}, 6) as {s}{k}_{c}" for s in ("in", "out") for k in (1, 2, 3) for c in "xy") + " from h0 " + " ".join(f"join {s}{k} on {s}{k}.node = h0.node" for s in ("in", "out") for k in (1, 2, 3)))
+# values that end in a half at the last place would be rounded by the order of summation
+@query(f"with {WEIGHTS}, {HOPS} select h0.node, " + ", ".join(f"round({s}{k}.{c} + 1e-9::double, 6) as {s}{k}_{c}" for s in ("in", "out") for k in (1, 2, 3) for c in "xy") + " from h0 " + " ".join(f"join {s}{k} on {s}{k}.node = h0.node" for s in ("in", "out") for k in (1, 2, 3)))
 def k_hop_features(spark, d):
     n, e = nodes(spark, d), edges(spark, d)
     base = n.select("node", F.when(F.col("node") > 0, 1.0).otherwise(0.0).alias("x"), (F.abs("node") % 10).cast("double").alias("y"))
     f = graph.graph_features(e, n, base, ["x", "y"], 3)
     names = [f"{s}{k}_{c}" for s in ("in", "out") for k in (1, 2, 3) for c in "xy"]
-    return f.select("node", *[F.round(F.col("features")[i + 2], 6).alias(c) for i, c in enumerate(names)])
+    return f.select("node", *[F.round(F.col("features")[i + 2] + 1e-9, 6).alias(c) for i, c in enumerate(names)])
 
 
 TYPES = ("FFT", "MUX", "XOR")

@@ -7,7 +7,7 @@ from faultlens.operators import integrity, rows
 from faultlens.plans.registry import query
 from faultlens.sources.tables import table
 
-HAMMING = " + ".join(f"bit_count(xor(('0x' || substr(a, {k}, 8))::bigint, ('0x' || substr(b, {k}, 8))::bigint))" for k in range(1, 65, 8))
+HAMMING = " + ".join(f"bit_count(xor(('0x' || substr(a, {k}, 8))::bigint, ('0x' || substr(b, {k}, 8))::bigint))::int" for k in range(1, 65, 8))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, lower(l_returnflag) as flag, 'TRAIN' as vector_split, l_quantity - 25 as latency_delta from lineitem")
