@@ -32,13 +32,13 @@ def planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(dim)).standard_normal((dim, tables * bits))
 
 
-def codes(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def codes(x: np.ndarray, normals: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """A code per vector and table."""
-    signs = (x @ planes(x.shape[1], bits, tables) >= 0).reshape(len(x), tables, bits)
+    signs = (x @ normals >= 0).reshape(len(x), tables, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows: list | np.ndarray) -> np.ndarray:
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range of doubles
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -51,7 +51,7 @@ def _hash(bits: int, tables: int):
             out: list[list[int]] = [[] for _ in vectors]
             for dim in {len(v) for v in vectors}:
                 own = [i for i, v in enumerate(vectors) if len(v) == dim]
-                for i, row in zip(own, codes(_unit([vectors[i] for i in own]), bits, tables).tolist(), strict=True):
+                for i, row in zip(own, codes(_unit([vectors[i] for i in own]), planes(dim, bits, tables), bits, tables).tolist(), strict=True):
                     out[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["h", "codes"])
 
@@ -65,11 +65,8 @@ def _compare(bits: int, tables: int, cosine: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spread() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
-
         out: tuple[list, list, list, list] = ([], [], [], [])
+        normals: dict[int, np.ndarray] = {}
 
         def flush() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], ["h", "links", "u", "v"])
@@ -77,11 +74,13 @@ def _compare(bits: int, tables: int, cosine: float):
                 c.clear()
             return made
 
-        def group(key: tuple, rows: list[tuple]) -> None:
-            tab, _, _, i, j = key
-            x = _unit([r[4] for r in rows])
-            h, rep, n, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            own = codes(x, bits, tables)[:, :tab]
+        def group(key: tuple, parts: list[list[np.ndarray]]) -> None:
+            tab, _, dim, i, j = key
+            h, rep, n, block, flat = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            x = _unit(flat.reshape(-1, dim))
+            if dim not in normals:
+                normals[dim] = planes(dim, bits, tables)
+            own = codes(x, normals[dim], bits, tables)[:, :tab]
             first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
             near = x[first] @ x[second].T >= cosine
             if i == j:
@@ -110,17 +109,26 @@ def _compare(bits: int, tables: int, cosine: float):
             out[3].append(v)
 
         key, held, done = None, [], 0
-        for row in spread():
-            if row[:5] != key:
-                if len(held) > 1:
-                    group(key, held)
-                    done += len(held)
-                    if done > 50_000:
-                        yield flush()
-                        done = 0
-                key, held = row[:5], []
-            held.append(row[5:])
-        if len(held) > 1:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ints = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            vectors = batch.column(9)
+            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+            ends = ends - ends[0]
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ints[:5]], axis=0)) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
+                now = tuple(int(c[lo]) for c in ints[:5])
+                if now != key:
+                    if sum(len(p[0]) for p in held) > 1:
+                        group(key, held)
+                    key, held = now, []
+                held.append([*[c[lo:hi] for c in ints[5:]], flat[ends[lo] : ends[hi]]])
+            done += batch.num_rows
+            if done > 50_000:
+                yield flush()
+                done = 0
+        if sum(len(p[0]) for p in held) > 1:
             group(key, held)
         yield flush()
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import components, lowered, near_links, prose, shingles, words
+from brute import components, lowered, near_links, prose, shingles, words
 from pyspark.sql import functions as F
 
 from faultlens.llm import decontam, embed, html, langid, linededup, lm, minhash, mixing, substring, warc

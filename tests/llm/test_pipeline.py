@@ -4,7 +4,7 @@ import random
 
 import pytest
 from compare import duck, rows_of, rows_sql
-from conftest import prose
+from brute import prose
 from test_operators import DOCS, check_mix, decontam_brute, lines_brute
 
 import corpus_pipeline
@@ -50,7 +50,7 @@ def test_stages(spark, folder, tmp_path):
                 else:
                     assert i not in rows
         if name == "near":
-            from conftest import components, near_links
+            from brute import components, near_links
 
             assert set(rows) == {i for i, c in components(before, near_links(before, 80)).items() if i == c}
         if name == "clean":
