@@ -15,6 +15,8 @@ BUCKETS = 1 << 20
 FILTER_BITS = 1 << 22
 #: Jaccard threshold, as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
+#: Bits of 64 that an odd number of a line's words fall on, for half of the words each; a shift takes the low six bits of its count.
+PARITY = "aggregate(hs, 0L, (acc, h) -> if(h {} 0, acc ^ shiftleft(1L, cast(shiftrightunsigned(h, 33) as int)), acc))"
 BUCKET = f"cast(h & {BUCKETS - 1} as int)"
 
 
@@ -23,32 +25,30 @@ def _ceil(numerator: str, denominator: str) -> str:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """One row: how many words of all texts fall into each bucket of their digest, as an array of BUCKETS."""
+    """One row: how many words of all texts fall into each bucket of their digest (in the bits from 40 on), as an array of BUCKETS."""
     words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).select(F.expr("xxhash64(w)").alias("h"))
     counts = words.select(F.expr(BUCKET).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     full = docs.sparkSession.range(0, BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    full = full.select(F.shiftright("b", 10).alias("hi"), "b", F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 23) - 1)).cast("int").alias("n"))
+    full = full.select(F.shiftright("b", 10).alias("hi"), "b", F.shiftleft(F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 22) - 1)).cast("long"), 40).alias("n"))
     rows = full.groupBy("hi").agg(F.expr("transform(array_sort(collect_list(struct(b, n))), x -> x.n)").alias("part"))
     return rows.agg(F.expr("flatten(transform(array_sort(collect_list(struct(hi, part))), x -> x.part))").alias("counts"))
 
 
 def prefixed(firsts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds n (distinct words), tokens (the probing prefix, rarest first) and m (a parity bit map of the words).
+    """Adds n (distinct words), tokens (the probing prefix, rarest first) and m1, m2 (a parity bit map of the words).
 
     A token's code is its bucket's count before its digest: codes ascend with rarity, and any fixed
-    order of all tokens keeps prefix filtering exact. A token counted once stands in no other line,
-    so it is left out of the prefix, though it keeps its place.
+    order of all tokens keeps prefix filtering exact.
     """
     view = f"token_counts_{uuid.uuid4().hex}"
     counts.createOrReplaceTempView(view)
-    firsts.withColumn("hs", F.expr(f"transform(array_distinct(array_remove(split(line, r'{SPACE}'), '')), w -> xxhash64(w))")).createOrReplaceTempView(view + "_lines")
-    # the scalar subquery brings the table to the tasks once, as a value of fixed size
-    coded = firsts.sparkSession.sql(f"select k1, k2, doc_id, hs, sort_array(transform(hs, h -> (cast(element_at(counts, {BUCKET} + 1) as bigint) << 40) | shiftrightunsigned(h, 24))) as codes from (select *, (select counts from {view}) as counts from {view}_lines where size(hs) > 0)")
+    hashes = f"array_remove(array_distinct(transform(split(line, r'{SPACE}'), w -> xxhash64(w))), xxhash64(''))"
+    # the explode of one element keeps the digests from being made once for each use
+    firsts.select("k1", "k2", "doc_id", F.expr(f"explode(array({hashes}))").alias("hs")).filter("size(hs) > 0").createOrReplaceTempView(view + "_lines")
+    # the scalar subquery brings the table to the tasks once, as a value of fixed size, and is read in place
+    coded = firsts.sparkSession.sql(f"select k1, k2, doc_id, {PARITY.format('<')} as m1, {PARITY.format('>=')} as m2, sort_array(transform(hs, h -> counts[{BUCKET}] | shiftrightunsigned(h, 24))) as codes from (select *, (select counts from {view}) as counts from {view}_lines)")
     n = "size(codes)"
-    probe = f"({n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1)"
-    tokens = f"filter(transform(slice(codes, 1, {probe}), (c, i) -> struct(c, i)), x -> shiftrightunsigned(x.c, 40) > 1)"
-    parity = "aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(1L, cast(shiftrightunsigned(h, 44) & 63 as int)))"
-    return coded.select("k1", "k2", "doc_id", F.expr(n).alias("n"), F.expr(tokens).alias("tokens"), F.expr(parity).alias("m"))
+    return coded.select("k1", "k2", "doc_id", F.expr(n).alias("n"), F.expr(f"slice(codes, 1, {n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1)").alias("tokens"), "m1", "m2")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -57,7 +57,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     The longer line a probes with its prefix; of the shorter line b a shorter prefix is enough,
     since the overlap asked for is at least 2t/(1+t) of b's length.
     """
-    rows = classes.select("cls", "n", "m", F.explode("tokens").alias("x")).select("x.c", "cls", "m", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("x.i")).alias("place"))
+    # a token counted once stands in no other line
+    rows = classes.select("cls", "n", "m1", "m2", F.posexplode("tokens").alias("i", "c")).filter("shiftrightunsigned(c, 40) > 1").select("c", "cls", "m1", "m2", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("place"))
     a, b = (rows.select(*[F.col(c).alias(c + s) for c in rows.columns]) for s in ("_a", "_b"))
     n_a, n_b, i_a, i_b = "shiftright(place_a, 32)", "shiftright(place_b, 32)", "(place_a & 4294967295)", "(place_b & 4294967295)"
     total = f"({n_a} + {n_b})"
@@ -68,26 +69,35 @@ def candidates(classes: DataFrame) -> DataFrame:
         # a's length only keeps this test in the join, so that both sides read one exchange
         f"if({n_a} > 0, {i_b} <= {n_b} - {_ceil(f'{2 * NUM} * {n_b}', str(NUM + DEN))}, false)",
         f"least({i_a}, {i_b}) + 1 + least({n_a} - {i_a}, {n_b} - {i_b}) - 1 >= {least}",
-        f"bit_count(m_a ^ m_b) <= {total} - 2 * {least}",
+        f"bit_count(m1_a ^ m1_b) + bit_count(m2_a ^ m2_b) <= {total} - 2 * {least}",
     ]
     met = a.join(b.hint("shuffle_hash"), F.expr("c_a = c_b and " + " and ".join(tests)))
     return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
+def bit_table(keys: DataFrame, key: str) -> DataFrame:
+    """One row: a bit for each key's low bits, as an array of FILTER_BITS / 64 longs."""
+    words = keys.select(F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    full = keys.sparkSession.range(0, FILTER_BITS // 64).select(F.col("id").alias("word")).join(words, "word", "left")
+    return full.agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) as bits))), x -> x.bits)").alias("bits"))
+
+
+def with_bit(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
+    """rows with _bit: whether the table, read once as a scalar subquery, has the key's bit."""
+    view = f"bits_{uuid.uuid4().hex}"
+    bits.createOrReplaceTempView(view)
+    rows.createOrReplaceTempView(view + "_rows")
+    return rows.sparkSession.sql(f"select *, shiftrightunsigned((select bits from {view})[cast(shiftright({key} & {FILTER_BITS - 1}, 6) as int)], cast({key} & 63 as int)) & 1 = 1 as _bit from {view}_rows")
+
+
 def near_lines(lines: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of classes whose word sets reach the threshold, with their first places: (a, b, doc_a, no_a, doc_b, no_b).
 
     lines: (doc_id, no, line, k1, k2). Only lines of classes in a pair are kept; a bit table of fixed
     size drops most others before they are shuffled.
     """
-    view = f"wanted_{uuid.uuid4().hex}"
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "k1", "k2", "doc_id"), "cls")
-    bit = F.col("k1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = needed.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
-    full = lines.sparkSession.range(0, FILTER_BITS // 64).select(F.col("id").alias("word")).join(words, "word", "left")
-    full.agg(F.expr("transform(array_sort(collect_list(struct(word, coalesce(bits, 0L) as bits))), x -> x.bits)").alias("bits")).createOrReplaceTempView(view)
-    lines.createOrReplaceTempView(view + "_lines")
-    some = lines.sparkSession.sql(f"select * from (select *, (select bits from {view}) as bits from {view}_lines) where shiftrightunsigned(element_at(bits, cast(shiftright(k1 & {FILTER_BITS - 1}, 6) as int) + 1), cast(k1 & 63 as int)) & 1 = 1").drop("bits")
+    some = with_bit(lines, stored(bit_table(needed, "k1"), "bits"), "k1").filter("_bit").drop("_bit")
     first = some.join(needed, ["k1", "k2", "doc_id"]).groupBy("cls", "doc_id").agg(F.min("no").alias("no"), F.min("line").alias("line"))
     first = stored(first.select("cls", "doc_id", "no", F.expr(f"array_distinct(array_remove(split(line, r'{SPACE}'), ''))").alias("words")), "lines")
     side = lambda s: first.select(F.col("cls").alias(s), F.col("doc_id").alias(f"doc_{s}"), F.col("no").alias(f"no_{s}"), F.col("words").alias(f"words_{s}"))
@@ -114,16 +124,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = split.select("doc_id", "no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
     counts = stored(token_counts(low), "counts")
     sets = prefixed(lines.drop("no"), counts)
-    classes = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "tokens", "m")).alias("x")).select("k1", "k2", "doc_id", "x.*")
+    classes = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "tokens", "m1", "m2")).alias("x")).select("k1", "k2", "doc_id", "x.*")
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     pairs = stored(candidates(classes), "pairs")
     near = near_lines(lines, classes, pairs)
     later = F.when(F.expr("doc_a > doc_b or (doc_a = doc_b and no_a > no_b)"), F.col("a")).otherwise(F.col("b"))
     owned = classes.join(near.select(later.alias("cls")).distinct(), "cls", "left_anti").groupBy("doc_id").agg(F.collect_list(F.col("k1").bitwiseXOR(F.shiftleft("k2", 1))).alias("_keys"))
-    out = docs.join(owned.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    out = out.withColumn("_lines", F.split("text", "\n"))
-    out = out.withColumn("_at", F.expr("transform(_lines, l -> xxhash64(lower(l)) ^ shiftleft(xxhash64(1, lower(l)), 1))"))
-    gone = f"filter(sequence(0, size(_lines) - 1), i -> _lines[i] rlike r'[^\x20\x09-\x0D]' and (not array_contains(coalesce(_keys, array()), _at[i]) or array_position(_at, _at[i]) <= i))"
-    out = out.withColumn("removed", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.expr("cast(array() as array<int>)")).otherwise(F.expr(gone)))
-    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr("concat_ws('\n', filter(_lines, (l, i) -> not array_contains(removed, i)))"))
-    return out.withColumn("kept_text", F.when(F.col("text").isNotNull(), kept)).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0))).drop("_keys", "_lines", "_at")
+    owned = stored(owned.withColumnRenamed("doc_id", "_id"), "owned")
+    # documents that own each of their lines stay as they are: only the others meet what they own
+    worded = low.filter("doc_id is not null and text is not null").select("doc_id", F.expr("size(filter(split(text, '\n'), l -> l rlike r'[^\x20\x09-\x0D]'))").alias("n"))
+    short = worded.join(owned.select("_id", F.size("_keys").alias("m")), F.col("doc_id") == F.col("_id"), "left").filter("n > coalesce(m, 0)").select(F.xxhash64("doc_id").alias("key")).distinct()
+    marked = with_bit(docs.withColumn("_key", F.xxhash64("doc_id")), stored(bit_table(short, "key"), "bits"), "_key").drop("_key")
+    whole = marked.filter("not _bit or doc_id is null or text is null").drop("_bit").withColumn("removed", F.expr("cast(array() as array<int>)"))
+    part = marked.filter("_bit and doc_id is not null and text is not null").drop("_bit").join(owned, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    at = "transform(split(text, '\n'), l -> xxhash64(lower(l)) ^ shiftleft(xxhash64(1, lower(l)), 1))"
+    gone = "filter(sequence(0, size(_at) - 1), i -> _lines[i] rlike r'[^\x20\x09-\x0D]' and (not array_contains(coalesce(_keys, array()), _at[i]) or array_position(_at, _at[i]) <= i))"
+    part = part.withColumn("_lines", F.split("text", "\n")).withColumn("_at", F.expr(f"explode(array({at}))")).withColumn("removed", F.expr(f"explode(array({gone}))")).drop("_keys", "_lines", "_at")
+    out = whole.unionByName(part)
+    rest = F.expr("concat_ws('\n', filter(split(text, '\n'), (l, i) -> not array_contains(removed, i)))")
+    return out.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(rest)).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
