@@ -7,6 +7,7 @@ no task and no driver ever holds the model, however large the corpus makes it.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from faultlens.llm.common import WordHashes, mixed, stored, words_of
 
 #: Tokens in a block, about.
-BLOCK = 500_000
+BLOCK = 1_000_000
 #: N-grams in a counting group, about.
 GROUP = 2_000_000
 #: Additive smoothing of the unigrams.
@@ -31,6 +32,26 @@ DECADES = 10.0 ** np.arange(1, 19)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed(a: np.ndarray) -> bytes:
+    """An array of unsigned integers, byte plane by byte plane, compressed."""
+    head = struct.pack("<QB", len(a), a.itemsize)
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return head + (pa.compress(planes, codec="zstd", asbytes=True) if len(a) else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, size = struct.unpack("<QB", data[:9])
+    if not n:
+        return np.empty(0, f"<u{size}")
+    raw = np.frombuffer(pa.decompress(data[9:], n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(f"<u{size}").ravel()
+
+
+def ascending(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, packed as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the tenth that is not learned from; a null id counts as an empty one."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -42,7 +63,12 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     local: dict[bytes, int] = {BEGIN: 0, END: 1}
 
     def block() -> pa.RecordBatch:
-        row = [[(part << 33) + made]], [ids], [held], [lengths], [np.array(tokens, np.uint32).tobytes()], [hashes.array(list(local)).tobytes()]
+        # frequent words get small numbers: their high bytes are zeros
+        t = np.array(tokens, np.uint32)
+        order = np.concatenate([[0, 1], 2 + np.argsort(-np.bincount(t, minlength=len(local))[2:], kind="stable")])
+        rank = np.empty(len(local), np.uint32)
+        rank[order] = np.arange(len(local), dtype=np.uint32)
+        row = [[(part << 33) + made]], [ids], [held], [lengths], [packed(rank[t])], [packed(hashes.array(list(local))[order])]
         kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()
         return pa.RecordBatch.from_arrays([pa.array(x[0] if i == 0 else x, k) for i, (x, k) in enumerate(zip(row, kinds, strict=True))], ["block", "ids", "held", "lengths", "tokens", "words"])
 
@@ -70,8 +96,8 @@ class Block:
 
     def __init__(self, ids: list, held: list, lengths: list, tokens: bytes, words: bytes) -> None:
         self.ids, self.held, self.lengths = ids, np.array(held, bool), np.array(lengths, np.int64)
-        self.t = np.frombuffer(tokens, np.uint32).astype(np.int64)
-        self.h = np.frombuffer(words, np.uint64)
+        self.t = unpacked(tokens).astype(np.int64)
+        self.h = unpacked(words)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         before = np.empty_like(self.t)
         before[1:] = self.t[:-1]
@@ -93,7 +119,7 @@ class Block:
         got = []
         for n, key in ((1, self.key1), (2, self.key2)):
             own = sorted((p for p in parts if p["n"] == n), key=lambda p: p["bucket"])
-            flat = np.concatenate([np.frombuffer(p["counts"], f"u{p['width']}") for p in own]).astype(np.int64)
+            flat = np.concatenate([unpacked(p["counts"]).astype(np.int64) for p in own])
             counts = np.empty(len(key), np.int64)
             counts[np.argsort(key)] = flat
             got.append(counts)
@@ -118,7 +144,7 @@ def _ask(bits: int):
                 order, counts = b.asked(n)
                 key, counts = key[order], counts[order].astype(np.uint32)
                 ends = np.searchsorted(key, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(key)] if bits else [len(key)]
-                out = [(n, k, row["block"], key[lo:hi].tobytes(), counts[lo:hi].tobytes()) for k, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if hi > lo]
+                out = [(n, k, row["block"], ascending(key[lo:hi]), packed(counts[lo:hi])) for k, (lo, hi) in enumerate(zip([0, *ends], ends, strict=False)) if hi > lo]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["n", "bucket", "block", "keys", "counts"])
 
     return ask
@@ -126,20 +152,20 @@ def _ask(bits: int):
 
 def _count(group: pa.Table) -> pa.Table:
     """Corpus counts for all blocks that ask for n-grams of one key range."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("keys")]
+    keys = [np.cumsum(unpacked(x.as_py())) for x in group.column("keys")]
     flat, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")]), len(flat)).astype(np.int64)
+    total = np.bincount(at, np.concatenate([unpacked(x.as_py()) for x in group.column("counts")]), len(flat)).astype(np.int64)
     width = next(w for w in (1, 2, 4, 8) if w == 8 or total.max(initial=0) < 1 << (8 * w))
     ends = np.cumsum([len(k) for k in keys])
     answer = total.astype(f"u{width}")[at]
     rows = len(keys)
-    blobs = [answer[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)]
+    blobs = [packed(answer[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)]
     first = np.arange(rows) == 0
-    cols = [group.column("n").combine_chunks(), group.column("bucket").combine_chunks(), group.column("block").combine_chunks(), pa.array([width] * rows, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.where(first, (total > 0).sum(), 0)), pa.array(np.where(first, total.sum(), 0))]
-    return pa.Table.from_arrays([pa.chunked_array([c]) if not isinstance(c, pa.ChunkedArray) else c for c in cols], ["n", "bucket", "block", "width", "counts", "kinds", "total"])
+    cols = [group.column("n").combine_chunks(), group.column("bucket").combine_chunks(), group.column("block").combine_chunks(), pa.array(blobs, pa.binary()), pa.array(np.where(first, (total > 0).sum(), 0)), pa.array(np.where(first, total.sum(), 0))]
+    return pa.Table.from_arrays([pa.chunked_array([c]) if not isinstance(c, pa.ChunkedArray) else c for c in cols], ["n", "bucket", "block", "counts", "kinds", "total"])
 
 
-ANSWERS = "n int, bucket int, block long, width int, counts binary, kinds long, total long"
+ANSWERS = "n int, bucket int, block long, counts binary, kinds long, total long"
 
 
 def _weigh(total: int):
@@ -216,12 +242,12 @@ def score(docs: DataFrame) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string"))
     blocks = stored(source.mapInArrow(_encode, BLOCKS), "blocks")
-    size = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
+    size = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(size, 1) / GROUP))))
     asked = blocks.mapInArrow(_ask(bits), "n int, bucket int, block long, keys binary, counts binary")
     answers = stored(asked.groupBy("n", "bucket").applyInArrow(_count, ANSWERS), "answers")
     kinds, total = (x or 0 for x in answers.filter("n = 1").agg(F.sum("kinds"), F.sum("total")).first())
-    full = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "width", "counts")).alias("parts")), "block")
+    full = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "counts")).alias("parts")), "block")
     won = full.mapInArrow(_weigh(total), "decade int, won long, seen long").groupBy("decade").agg(F.sum("won").alias("won"), F.sum("seen").alias("seen")).collect()  # a row per decade
     weights = [LOWEST] * 20
     for r in won:
