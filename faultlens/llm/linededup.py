@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from faultlens.llm.common import SPACE, stored
+from faultlens.llm.common import SPACE, ranged, running, stored
 
 #: Buckets of the token count table: its size is fixed, whatever the vocabulary.
 BUCKETS = 1 << 20
@@ -44,35 +45,71 @@ def prefixed(firsts: DataFrame, counts: DataFrame) -> DataFrame:
     counts.createOrReplaceTempView(view)
     hashes = f"array_remove(array_distinct(transform(split(line, r'{SPACE}'), w -> xxhash64(w))), xxhash64(''))"
     # the explode of one element keeps the digests from being made once for each use
-    firsts.select("k1", "k2", "doc_id", F.expr(f"explode(array({hashes}))").alias("hs")).filter("size(hs) > 0").createOrReplaceTempView(view + "_lines")
+    firsts.select("k1", "k2", "rank", F.expr(f"explode(array({hashes}))").alias("hs")).filter("size(hs) > 0").createOrReplaceTempView(view + "_lines")
     # the scalar subquery brings the table to the tasks once, as a value of fixed size, and is read in place
-    coded = firsts.sparkSession.sql(f"select k1, k2, doc_id, {PARITY.format('<')} as m1, {PARITY.format('>=')} as m2, sort_array(transform(hs, h -> counts[{BUCKET}] | shiftrightunsigned(h, 24))) as codes from (select *, (select counts from {view}) as counts from {view}_lines)")
+    coded = firsts.sparkSession.sql(f"select k1, k2, rank, {PARITY.format('<')} as m1, {PARITY.format('>=')} as m2, sort_array(transform(hs, h -> counts[{BUCKET}] | shiftrightunsigned(h, 24))) as codes from (select *, (select counts from {view}) as counts from {view}_lines)")
     n = "size(codes)"
-    return coded.select("k1", "k2", "doc_id", F.expr(n).alias("n"), F.expr(f"slice(codes, 1, {n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1)").alias("tokens"), "m1", "m2")
+    return coded.select("k1", "k2", "rank", F.expr(n).alias("n"), F.expr(f"slice(codes, 1, {n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1)").alias("tokens"), "m1", "m2")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with _num, which ascends with doc_id, and the bits that a line number needs beside it.
+
+    _num is doc_id less the smallest one; if that leaves no room for line numbers in a long, it is the
+    place of doc_id among all.
+    """
+    lo, hi, most = docs.filter("doc_id is not null").agg(F.min("doc_id"), F.max("doc_id"), F.max(F.size(F.split("text", "\n")))).first()
+    bits = max(1, (most or 1).bit_length())
+    if lo is None or hi - lo < 1 << (61 - bits):
+        return docs.withColumn("_num", F.expr(f"doc_id - {lo or 0}L").cast("long")), bits
+    ids = ranged(docs.filter("doc_id is not null").select("doc_id").distinct(), "doc_id")
+    dense = ids.join(running(ids, [], []), "_part").select(F.col("doc_id").alias("_doc"), (F.col("_pos") - F.col("_first") + F.col("_before")).alias("_num"))
+    return docs.join(dense, F.col("doc_id") == F.col("_doc"), "left").drop("_doc"), bits
+
+
+def _tests(a: str, b: str) -> tuple[str, ...]:
+    """n and i of rows a and b, and the tests that no pair at the threshold fails: length, position, bit map."""
+    n, i = (lambda x: f"shiftright(place{x}, 32)"), (lambda x: f"shiftright(place{x} & 4294967295, 1)")
+    total = f"({n(a)} + {n(b)})"
+    least = _ceil(f"{NUM} * {total}", str(NUM + DEN))
+    return n(a), n(b), i(a), i(b), f"{DEN} * least({n(a)}, {n(b)}) >= {NUM} * greatest({n(a)}, {n(b)}) and least({i(a)}, {i(b)}) + least({n(a)} - {i(a)}, {n(b)} - {i(b)}) >= {least} and bit_count(m1{a} ^ m1{b}) + bit_count(m2{a} ^ m2{b}) <= {total} - 2 * {least}"
+
+
+def token_rows(classes: DataFrame) -> DataFrame:
+    """(c, cls, m1, m2, place): a row per prefix token; place packs n, the token's position and `open`.
+
+    A token counted once stands in no other line and is left out.
+    """
+    rows = classes.select("cls", "n", "open", "m1", "m2", F.posexplode("tokens").alias("i", "c")).filter("shiftrightunsigned(c, 40) > 1")
+    return rows.select("c", "cls", "m1", "m2", F.expr("shiftleft(cast(n as long), 32) + shiftleft(i, 1) + open").alias("place"))
+
+
+def leaders(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a line and the first line with one of its prefix tokens: at most one per token, however many lines share it."""
+    rows = token_rows(classes.withColumn("open", F.lit(0)))
+    first = F.min(F.struct("cls", "place", "m1", "m2")).over(Window.partitionBy("c"))
+    led = rows.withColumn("x", first).select("cls", "place", "m1", "m2", F.col("x.cls").alias("cls_b"), F.col("x.place").alias("place_b"), F.col("x.m1").alias("m1_b"), F.col("x.m2").alias("m2_b"))
+    return led.filter("cls > cls_b and " + _tests("", "_b")[-1]).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that pass the prefix, length, positional and bit map filters; none of these loses a pair at the threshold.
+    """Pairs (a, b), a later, of an open line and any earlier one, by prefix tokens and all tests.
 
-    The longer line a probes with its prefix; of the shorter line b a shorter prefix is enough,
-    since the overlap asked for is at least 2t/(1+t) of b's length.
+    The longer line probes with its prefix; of the shorter one a shorter prefix is enough, since the
+    overlap asked for is at least 2t/(1+t) of its length.
     """
-    # a token counted once stands in no other line
-    rows = classes.select("cls", "n", "m1", "m2", F.posexplode("tokens").alias("i", "c")).filter("shiftrightunsigned(c, 40) > 1").select("c", "cls", "m1", "m2", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("place"))
+    rows = token_rows(classes)
     a, b = (rows.select(*[F.col(c).alias(c + s) for c in rows.columns]) for s in ("_a", "_b"))
-    n_a, n_b, i_a, i_b = "shiftright(place_a, 32)", "shiftright(place_b, 32)", "(place_a & 4294967295)", "(place_b & 4294967295)"
-    total = f"({n_a} + {n_b})"
-    least = _ceil(f"{NUM} * {total}", str(NUM + DEN))
-    tests = [
+    n_a, n_b, _, i_b, tests = _tests("_a", "_b")
+    conditions = [
         f"({n_a} > {n_b} or ({n_a} = {n_b} and cls_a > cls_b))",
-        f"{DEN} * {n_b} >= {NUM} * {n_a}",
+        "if(cls_a > cls_b, place_a & 1, place_b & 1) = 1",
         # a's length only keeps this test in the join, so that both sides read one exchange
         f"if({n_a} > 0, {i_b} <= {n_b} - {_ceil(f'{2 * NUM} * {n_b}', str(NUM + DEN))}, false)",
-        f"least({i_a}, {i_b}) + 1 + least({n_a} - {i_a}, {n_b} - {i_b}) - 1 >= {least}",
-        f"bit_count(m1_a ^ m1_b) + bit_count(m2_a ^ m2_b) <= {total} - 2 * {least}",
+        tests,
     ]
-    met = a.join(b.hint("shuffle_hash"), F.expr("c_a = c_b and " + " and ".join(tests)))
-    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    met = a.join(b.hint("shuffle_hash"), F.expr("c_a = c_b and " + " and ".join(conditions)))
+    return met.select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct()
 
 
 def bit_table(keys: DataFrame, key: str) -> DataFrame:
@@ -90,19 +127,19 @@ def with_bit(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
     return rows.sparkSession.sql(f"select *, shiftrightunsigned((select bits from {view})[cast(shiftright({key} & {FILTER_BITS - 1}, 6) as int)], cast({key} & 63 as int)) & 1 = 1 as _bit from {view}_rows")
 
 
-def near_lines(lines: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of classes whose word sets reach the threshold, with their first places: (a, b, doc_a, no_a, doc_b, no_b).
+def matched(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls): the later lines of those pairs whose word sets reach the threshold.
 
-    lines: (doc_id, no, line, k1, k2). Only lines of classes in a pair are kept; a bit table of fixed
-    size drops most others before they are shuffled.
+    lines: (rank, line). Only lines in a pair are needed; a bit table of fixed size drops most others
+    before they are shuffled.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "k1", "k2", "doc_id"), "cls")
-    some = with_bit(lines, stored(bit_table(needed, "k1"), "bits"), "k1").filter("_bit").drop("_bit")
-    first = some.join(needed, ["k1", "k2", "doc_id"]).groupBy("cls", "doc_id").agg(F.min("no").alias("no"), F.min("line").alias("line"))
-    first = stored(first.select("cls", "doc_id", "no", F.expr(f"array_distinct(array_remove(split(line, r'{SPACE}'), ''))").alias("words")), "lines")
-    side = lambda s: first.select(F.col("cls").alias(s), F.col("doc_id").alias(f"doc_{s}"), F.col("no").alias(f"no_{s}"), F.col("words").alias(f"words_{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.expr("size(array_intersect(words_a, words_b))"))
-    return met.filter(f"{DEN} * both >= {NUM} * (size(words_a) + size(words_b) - both)").drop("words_a", "words_b", "both")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct()
+    some = with_bit(lines.select("rank", "line"), stored(bit_table(needed, "rank"), "bits"), "rank").filter("_bit").drop("_bit")
+    first = some.join(needed, "rank").groupBy("rank").agg(F.min("line").alias("line"))
+    first = stored(first.select("rank", F.expr(f"array_distinct(array_remove(split(line, r'{SPACE}'), ''))").alias("words")), "lines")
+    side = lambda s: first.select(F.col("rank").alias(s), F.col("words").alias(f"words_{s}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.expr("size(array_intersect(words_a, words_b))"))
+    return stored(met.filter(f"{DEN} * both >= {NUM} * (size(words_a) + size(words_b) - both)").select(F.col("a").alias("cls")).distinct(), "matched")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -116,30 +153,32 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id have no rank and stay whole; rows that repeat a doc_id are one document given twice: each
     keeps the lines that the document keeps. An empty table gives no rows.
 
-    Equal lines are grouped first, so that a line's number of copies never meets in one task; then
-    classes of lines are joined.
+    Equal lines are grouped first, so that a line's number of copies never meets in one task. Then
+    each line meets the first line of each of its prefix tokens, which settles the members of large
+    groups of near copies; only lines still open are joined with all earlier ones.
     """
-    low = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    split = low.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
-    lines = split.select("doc_id", "no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
+    names = docs.columns
+    docs, bits = numbered(docs)
+    low = docs.filter("_num is not null and text is not null").select("_num", F.col("text").cast("string").alias("text"))
+    split = low.select("_num", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
+    lines = split.select((F.shiftleft("_num", bits) + F.col("no")).alias("rank"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
     counts = stored(token_counts(low), "counts")
-    sets = prefixed(lines.drop("no"), counts)
-    classes = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "tokens", "m1", "m2")).alias("x")).select("k1", "k2", "doc_id", "x.*")
-    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    pairs = stored(candidates(classes), "pairs")
-    near = near_lines(lines, classes, pairs)
-    later = F.when(F.expr("doc_a > doc_b or (doc_a = doc_b and no_a > no_b)"), F.col("a")).otherwise(F.col("b"))
-    owned = classes.join(near.select(later.alias("cls")).distinct(), "cls", "left_anti").groupBy("doc_id").agg(F.collect_list(F.col("k1").bitwiseXOR(F.shiftleft("k2", 1))).alias("_keys"))
-    owned = stored(owned.withColumnRenamed("doc_id", "_id"), "owned")
+    classes = prefixed(lines, counts).groupBy("k1", "k2").agg(F.min("rank").alias("cls"), F.first(F.struct("n", "tokens", "m1", "m2")).alias("x")).select("cls", "x.*")
+    classes = stored(classes, "classes")
+    led = matched(lines, stored(leaders(classes), "pairs"))
+    flagged = classes.join(led.withColumn("_led", F.lit(1)), "cls", "left").withColumn("open", F.when(F.col("_led").isNull(), 1).otherwise(0))
+    rest = matched(lines, stored(candidates(flagged), "pairs"))
+    kept = classes.select("cls").join(led.union(rest), "cls", "left_anti")
+    owned = kept.groupBy(F.shiftright("cls", bits).alias("_own")).agg(F.collect_list(F.expr(f"cast(cls & {(1 << bits) - 1} as int)")).alias("_kept"))
+    owned = stored(owned, "owned")
     # documents that own each of their lines stay as they are: only the others meet what they own
-    worded = low.filter("doc_id is not null and text is not null").select("doc_id", F.expr("size(filter(split(text, '\n'), l -> l rlike r'[^\x20\x09-\x0D]'))").alias("n"))
-    short = worded.join(owned.select("_id", F.size("_keys").alias("m")), F.col("doc_id") == F.col("_id"), "left").filter("n > coalesce(m, 0)").select(F.xxhash64("doc_id").alias("key")).distinct()
-    marked = with_bit(docs.withColumn("_key", F.xxhash64("doc_id")), stored(bit_table(short, "key"), "bits"), "_key").drop("_key")
-    whole = marked.filter("not _bit or doc_id is null or text is null").drop("_bit").withColumn("removed", F.expr("cast(array() as array<int>)"))
-    part = marked.filter("_bit and doc_id is not null and text is not null").drop("_bit").join(owned, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    at = "transform(split(text, '\n'), l -> xxhash64(lower(l)) ^ shiftleft(xxhash64(1, lower(l)), 1))"
-    gone = "filter(sequence(0, size(_at) - 1), i -> _lines[i] rlike r'[^\x20\x09-\x0D]' and (not array_contains(coalesce(_keys, array()), _at[i]) or array_position(_at, _at[i]) <= i))"
-    part = part.withColumn("_lines", F.split("text", "\n")).withColumn("_at", F.expr(f"explode(array({at}))")).withColumn("removed", F.expr(f"explode(array({gone}))")).drop("_keys", "_lines", "_at")
-    out = whole.unionByName(part)
-    rest = F.expr("concat_ws('\n', filter(split(text, '\n'), (l, i) -> not array_contains(removed, i)))")
-    return out.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(rest)).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    worded = low.select("_num", F.expr("size(filter(split(text, '\n'), l -> l rlike r'[^\x20\x09-\x0D]'))").alias("n"))
+    short = worded.join(owned.select("_own", F.size("_kept").alias("m")), F.col("_num") == F.col("_own"), "left").filter("n > coalesce(m, 0)").select("_num").distinct()
+    marked = with_bit(docs, stored(bit_table(short, "_num"), "bits"), "_num")
+    inside = "_num is not null and text is not null and _bit"
+    whole = marked.filter(f"not coalesce({inside}, false)").select(*names, F.expr("cast(array() as array<int>)").alias("removed"))
+    part = marked.filter(inside).join(owned, F.col("_num") == F.col("_own"), "left").withColumn("_lines", F.split("text", "\n"))
+    gone = "filter(sequence(0, size(_lines) - 1), i -> _lines[i] rlike r'[^\x20\x09-\x0D]' and not array_contains(coalesce(_kept, array()), i))"
+    out = whole.unionByName(part.select(*names, F.expr(f"explode(array({gone}))").alias("removed")))
+    rest_of = F.expr("concat_ws('\n', filter(split(text, '\n'), (l, i) -> not array_contains(removed, i)))")
+    return out.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(rest_of)).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))

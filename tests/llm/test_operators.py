@@ -333,6 +333,12 @@ def test_lines_edges(spark):
     assert got == sorted([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "z"), (3, None)], key=str)
 
 
+def test_lines_with_ids_of_any_size(spark):
+    rows = [(-(1 << 63), "a b c d\nq", "", "", 0), ((1 << 63) - 1, "d c b a\nz", "", "", 0), (0, "q\nr", "", "", 0)]
+    got = {r.doc_id: r.kept_text for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {-(1 << 63): "a b c d\nq", 0: "r", (1 << 63) - 1: "z"}
+
+
 # op 7
 
 
