@@ -2,8 +2,9 @@
 
 A tree of the forest orders all documents by a sequence of MinHash values. Neighbours in an order
 that share a long enough prefix are candidates, as are a document and the first document of each
-region (run of equal prefix) it lies in; deeper regions give closer pairs. A second round compares
-across what the first left apart inside a region, at a depth that adapts to the region's size.
+region (run of equal prefix) it lies in, at each depth the region reaches: a crowded region has more
+first documents, deeper down, a sparse one only few. A second round compares across what the first
+left apart, in blocks and exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from faultlens.llm.components import components
 TREES, DEPTH = 20, 6
 #: Shortest shared prefix of a candidate pair. At Jaccard 0.85 all TREES orders miss a pair with probability (1 - 0.85**4)**20 = 5e-7.
 LEAST = 4
-#: Documents in a region from which the second round uses the next depth (miss 9e-6).
-CROWDED = 256
+#: Digests of a block of documents that the second round compares at once.
+BLOCK = 400_000
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter that spares the second reading of documents most of its rows; a fixed size, false positives do no harm.
@@ -126,32 +127,45 @@ def first_candidates(classes: DataFrame) -> DataFrame:
     return _ordered(swept.filter("tree is null").unionByName(ends.filter("tree is null")).select("a", "b"))
 
 
-def _confirm(percent: int, width: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), {}
+class Joined:
+    """Components that this task's links have joined so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        up = self.up
+        while (p := up.get(c, c)) != c:
+            up[c] = up.get(p, p)
+            c = p
+        return c
+
 
-        def full(i: int, text: str | None) -> np.ndarray:
-            key = (i, len(text or ""), hash(text))
-            if key not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
-                held[key] = shingles(words_of(text), hashes, width)
-            return held[key]
+def _confirm(percent: int):
+    """Over (a, b, set of a, set of b): the links found, as (u, v); a pair that links of this task join already is passed over."""
 
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Joined()
         for batch in batches:
-            out = []
+            u, v = [], []
             for a, b, x, y in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                p, q = full(a, x), full(b, y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both and 100 * both >= percent * (len(p) + len(q) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["u", "v"])
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or (ra := known.root(a)) == (rb := known.root(b)):
+                    continue
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = 0
+                both = int((q[at] == p).sum())
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    known.up[ra] = rb
+                    u.append(a)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return confirm
 
 
-def _involved(pairs: DataFrame):
-    """A test for 'may be in a pair' over a bit table of fixed size."""
+def _involved(pairs: DataFrame, width: int):
+    """The column a bit table of fixed size is asked with, and a map of (id, text, bit) to the full sets of ids that may be in a pair."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     rows = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -159,41 +173,101 @@ def _involved(pairs: DataFrame):
         bits[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
             hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
+            found = batch.filter(pa.array(hit.astype(bool)))
+            for lo in range(0, found.num_rows, 500):
+                part = found.slice(lo, 500)
+                full = [shingles(words_of(t), hashes, width) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in full], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], ["id", "n", "full"])
 
     return bit, keep
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """Those (a, b) of pairs, as (u, v), whose full sets have 100 * intersection >= percent * union."""
-    bit, keep = _involved(pairs)
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).withColumn("bit", bit).mapInArrow(keep, "id long, text string")
+def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, n, full): the full sets of all documents in a pair, made anew from their texts."""
+    bit, keep = _involved(pairs, width)
+    sets = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).withColumn("bit", bit).mapInArrow(keep, "id long, n long, full binary")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(texts.join(needed, "id", "left_semi"), "texts")
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return stored(met.select("a", "b", "x", "y").mapInArrow(_confirm(percent, width), "u long, v long"), "links")
+    return stored(sets.join(needed, "id", "left_semi"), "sets")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs, as (u, v), whose full sets have 100 * intersection >= percent * union, but for such as join nothing new."""
+    side = lambda s, f: sets.select(F.col("id").alias(s), F.col("full").alias(f))
+    met = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
+    return stored(met.mapInArrow(_confirm(percent), "u long, v long"), "links")
+
+
+def _across(percent: int):
+    """Over (cluster, i, j, few, id, component, full), sorted: links between the few and the others of each block.
+
+    The others' digests are merged into one sorted list, in which each of the few finds all its
+    intersections at once.
+    """
+
+    def block(rows: list[tuple], known: Joined, u: list[int], v: list[int]) -> None:
+        few = [r for r in rows if r[0]]
+        rest = [r for r in rows if not r[0]]
+        if not few or not rest:
+            return
+        sets = [np.frombuffer(r[3], np.uint64) for r in rest]
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(rest)), size)[order]
+        for _, a, ca, full in few:
+            p = np.frombuffer(full, np.uint64)
+            lo, hi = np.searchsorted(flat, p, "left"), np.searchsorted(flat, p, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(rest))
+            for k in np.flatnonzero(100 * both >= percent * (len(p) + size - both)).tolist():
+                ra, rb = known.root(ca), known.root(rest[k][2])
+                if ra != rb:
+                    known.up[ra] = rb
+                    u.append(a)
+                    v.append(rest[k][1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, key, held = Joined(), None, []
+        u: list[int] = []
+        v: list[int] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != key:
+                    block(held, known, u, v)
+                    key, held = row[:3], []
+                held.append(row[3:])
+        block(held, known, u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
-def second_candidates(classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of one region that are still in different components.
+def second_links(sets: DataFrame, pairs: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between components that lie in one cluster, a component of the candidate pairs.
 
-    Members of a region's largest component are not compared with each other again; all others
-    meet every member of the region outside their own component.
+    All members of a region are candidates one after the other, so a cluster holds whole regions. In
+    a cluster, members of its largest component are not compared with each other again; each of the
+    few others meets every member, in blocks of at most BLOCK digests, and nothing is put out but
+    links that join components. So the work is exact and its output never more than the members.
     """
-    order = forest_orders(classes).join(parts.select(F.col("u").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    key = lambda d: F.xxhash64("tree", F.expr(f"substring(label, 1, {4 * d})"))
-    wide = order.withColumn("region", key(LEAST))
-    apart = lambda x: x.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("region", "n")
-    wide = wide.join(apart(wide), "region")
-    deep = wide.withColumn("region", F.when(F.col("n") > CROWDED, key(LEAST + 1)).otherwise(F.col("region"))).drop("n")
-    rows = stored(deep.select("region", "rep", "component"), "regions")
-    rows = rows.join(apart(rows).drop("n"), "region")
-    largest = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    few = rows.join(largest, "region").filter("component <> largest").select("region", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    return _ordered(few.join(rows.select("region", F.col("rep").alias("b"), F.col("component").alias("cb")), "region").filter("ca <> cb").select("a", "b"))
+    label = lambda edges, name: components(edges, name).select(F.col("u").alias("id"), F.col("component").alias(name))
+    nodes = sets.groupBy("id").agg(F.max("n").alias("n")).join(label(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "cluster"), "id", "left").join(label(links, "part"), "id", "left")
+    nodes = stored(nodes.select("id", "n", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("part", "id").alias("part")), "nodes")
+    per = nodes.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    split = per.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.max_by(F.struct("part", "n"), F.struct("k", "part")).alias("most"), F.sum("n").alias("n")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    split = split.select("cluster", F.col("most.part").alias("largest"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("most.n")).alias("few"))
+    met = stored(nodes.join(split, "cluster"), "split")
+    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = met.select("cluster", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), place(1, "all").alias("j"), F.lit(False).alias("is_few"), "id", "part")
+    some = met.filter("part <> largest").select("cluster", place(2, "few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("is_few"), "id", "part")
+    rows = every.unionByName(some).join(sets.select("id", "full"), "id").select("cluster", "i", "j", "is_few", "id", "part", "full")
+    return stored(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_across(percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -209,9 +283,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(sets.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     pairs = stored(first_candidates(classes), "pairs")
-    links = confirmed(docs, pairs, percent, width)
-    more = stored(second_candidates(classes, components(links)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(docs, more, percent, width))
+    full = candidate_sets(docs, pairs, width)
+    links = confirmed(full, pairs, percent)
+    links = links.unionByName(second_links(full, pairs, links, percent))
     # rows that repeat a doc_id with other texts tie their sets together
     same = sets.join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
     parts = components(links.unionByName(same))
