@@ -27,7 +27,7 @@ def schema(columns: Iterable[str]) -> T.StructType:
 
 def read_strict(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with this very header; a header, a number or a row of another form fails the query."""
-    return spark.read.schema(schema(columns)).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema(columns)).option("header", True).option("enforceSchema", False).option("columnPruning", False).option("mode", "FAILFAST").csv(path)
 
 
 def non_canonical(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -138,7 +138,7 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     if file > OBSERVATION_BYTES:
         raise ValueError(f"{path} has {file} bytes")
     fields = T.StructType([T.StructField(c, T.StringType() if c == "actual_digest" else T.IntegerType()) for c in OBSERVATION])
-    return spark.read.schema(fields).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(fields).option("header", True).option("enforceSchema", False).option("columnPruning", False).option("mode", "FAILFAST").csv(path)
 
 
 def read_log(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
