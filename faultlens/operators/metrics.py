@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultlens.functions.scalar import null_ratio, safe_ratio
+from faultlens.operators.ranks import positions, running_sums
 
 COUNTS = ("tn", "fp", "fn", "tp")
 
@@ -49,8 +50,15 @@ def hard_metrics(df: DataFrame, undefined: str = "zero") -> DataFrame:
 
 
 def sweep(scored: DataFrame, score: str = "score", target: str = "target", groups: Sequence[str] = ()) -> DataFrame:
-    """Per distinct score, descending: cumulative tp and fp, and the four counts at that threshold."""
+    """Per distinct score, descending: cumulative tp and fp, and the four counts at that threshold.
+
+    Without groups, sums run over range parts; with groups, a group's distinct scores meet.
+    """
     ties = scored.groupBy(*groups, score).agg(F.sum(F.col(target).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    if not groups:
+        r = running_sums(ties, [F.col(score).desc()], ["_p", "_n"])
+        r = r.select(score, "_p", "_n", F.col("cum__p").alias("tp"), (F.col("cum__n") - F.col("cum__p")).alias("fp"), F.col("all__p").alias("_all_p"), (F.col("all__n") - F.col("all__p")).alias("_all_n"))
+        return r.withColumn("fn", F.col("_all_p") - F.col("tp")).withColumn("tn", F.col("_all_n") - F.col("fp"))
     down = Window.partitionBy(*groups).orderBy(F.col(score).desc())
     whole = Window.partitionBy(*groups)
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -105,7 +113,11 @@ def ranking(scored: DataFrame, score: str = "score", target: str = "target", gro
 
 def equal_count_bins(scored: DataFrame, row_id: str, bins: int = 20, score: str = "score", target: str = "target") -> DataFrame:
     """Reliability by equal-count bins of (score, row_id) order."""
-    b = scored.withColumn("bin_index", F.ntile(bins).over(Window.orderBy(score, row_id)) - 1)
+    placed = positions(scored.select(row_id, score, target), [F.col(score).asc(), F.col(row_id).asc()], "_place")
+    # the first `more` bins hold one row more than the others
+    each, more = divmod(placed.count(), bins)
+    at, cut = F.col("_place"), more * (each + 1)
+    b = placed.withColumn("bin_index", F.when(at < cut, F.floor(at / (each + 1))).otherwise(more + F.floor((at - cut) / max(each, 1))).cast("int"))
     return b.groupBy("bin_index").agg(F.count(F.lit(1)).alias("sample_count"), F.min(score).alias("minimum_probability"), F.max(score).alias("maximum_probability"), F.avg(score).alias("mean_predicted_probability"), F.avg(F.col(target).cast("double")).alias("observed_positive_fraction"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultlens.operators.ranks import positions
+
 SPLIT_SEED = "group-split-v1"
 
 
@@ -73,18 +75,19 @@ def ranked_split(groups: DataFrame, key: str, parts: dict[str, int], seed: str =
     """Distinct groups ranked by sha256(seed|key), then key, and cut into exact slices.
 
     parts: name to number of groups, in order; groups beyond all slices are an error of the caller
-    and get a null partition. Result: key, partition, partition_rank (from 1, by key order inside the
-    hash order), split_hash. Groups are few against facts: one row each.
+    and get a null partition. Result: key, partition, partition_rank (from 1, in hash order),
+    split_hash. Slices are ranges of the rank, so ranks inside them need no further sort.
     """
     hashed = groups.select(key).distinct().withColumn("split_hash", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256))
-    ranked = hashed.withColumn("_rank", F.row_number().over(Window.orderBy("split_hash", key)))
-    case, below = None, 0
+    ranked = positions(hashed, [F.col("split_hash").asc(), F.col(key).asc()], "_place")
+    case = first = None
+    below = 0
     for name, size in parts.items():
-        inside = F.col("_rank") <= below + size
+        inside = F.col("_place") < below + size
         case = F.when(inside, name) if case is None else case.when(inside, name)
+        first = F.when(inside, below) if first is None else first.when(inside, below)
         below += size
-    rank = F.row_number().over(Window.partitionBy("partition").orderBy("_rank"))
-    return ranked.withColumn("partition", case).withColumn("partition_rank", rank).select(key, "partition", "partition_rank", "split_hash")
+    return ranked.select(key, case.alias("partition"), (F.col("_place") - F.coalesce(first, F.lit(below)) + 1).cast("int").alias("partition_rank"), "split_hash")
 
 
 def partition_statistics(facts: DataFrame, split: DataFrame, key: str, target: Column) -> DataFrame:
