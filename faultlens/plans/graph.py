@@ -8,18 +8,18 @@ from faultlens.sources.tables import table
 
 FLAGS = ("A", "N", "R")
 #: Parts as negative nodes keep the two kinds apart.
-EDGES = "(select l_suppkey as src, -l_partkey as dst, count(*) as multiplicity, count(*) filter (l_returnflag = 'A') as a_branches, count(*) filter (l_returnflag = 'N') as n_branches, count(*) filter (l_returnflag = 'R') as r_branches, 0 as is_self_loop from lineitem group by 1, 2)"
-NODES = "(select s_suppkey as node from supplier union select l_suppkey from lineitem union select -p_partkey from part union select -l_partkey from lineitem)"
+EDGES = "(select l_suppkey as src, -1 - l_partkey as dst, count(*) as multiplicity, count(*) filter (l_returnflag = 'A') as a_branches, count(*) filter (l_returnflag = 'N') as n_branches, count(*) filter (l_returnflag = 'R') as r_branches, 0 as is_self_loop from lineitem group by 1, 2)"
+NODES = "(select s_suppkey as node from supplier union select l_suppkey from lineitem union select -1 - p_partkey from part union select -1 - l_partkey from lineitem)"
 
 
 def edges(spark, d):
-    branches = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst"), F.col("l_returnflag").alias("role"))
+    branches = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), F.col("l_returnflag").alias("role"))
     return graph.collapse(branches, FLAGS)
 
 
 def nodes(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
-    parts = [table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), l.select(F.col("l_suppkey").alias("node")), table(spark, d, "part").select((-F.col("p_partkey")).alias("node")), l.select((-F.col("l_partkey")).alias("node"))]
+    parts = [table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), l.select(F.col("l_suppkey").alias("node")), table(spark, d, "part").select((-1 - F.col("p_partkey")).alias("node")), l.select((-1 - F.col("l_partkey")).alias("node"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -57,7 +57,7 @@ ein as (select dst as node, src as other, multiplicity::double as w from {EDGES}
 win as (select node, other, sum(w) / sum(sum(w)) over (partition by node) as weight from ein group by 1, 2),
 eout as (select src as node, dst as other, multiplicity::double as w from {EDGES} union all select node, node, 1.0::double from {NODES}),
 wout as (select node, other, sum(w) / sum(sum(w)) over (partition by node) as weight from eout group by 1, 2),
-h0 as (select node, case when node > 0 then 1.0::double else 0.0::double end as x, (abs(node) % 10)::double as y from {NODES})
+h0 as (select node, case when node >= 0 then 1.0::double else 0.0::double end as x, (abs(node) % 10)::double as y from {NODES})
 """
 
 
@@ -82,7 +82,7 @@ def adjacency_outbound(spark, d):
 @query(f"with {WEIGHTS}, {HOPS} select h0.node, " + ", ".join(f"round({s}{k}.{c} + 1e-9::double, 6) as {s}{k}_{c}" for s in ("in", "out") for k in (1, 2, 3) for c in "xy") + " from h0 " + " ".join(f"join {s}{k} on {s}{k}.node = h0.node" for s in ("in", "out") for k in (1, 2, 3)))
 def k_hop_features(spark, d):
     n, e = nodes(spark, d), edges(spark, d)
-    base = n.select("node", F.when(F.col("node") > 0, 1.0).otherwise(0.0).alias("x"), (F.abs("node") % 10).cast("double").alias("y"))
+    base = n.select("node", F.when(F.col("node") >= 0, 1.0).otherwise(0.0).alias("x"), (F.abs("node") % 10).cast("double").alias("y"))
     f = graph.graph_features(e, n, base, ["x", "y"], 3)
     names = [f"{s}{k}_{c}" for s in ("in", "out") for k in (1, 2, 3) for c in "xy"]
     return f.select("node", *[F.round(F.col("features")[i + 2] + 1e-9, 6).alias(c) for i, c in enumerate(names)])
