@@ -21,6 +21,10 @@ PARITY = "aggregate(hs, 0L, (acc, h) -> if(h {} 0, acc ^ shiftleft(1L, cast(shif
 BUCKET = f"cast(h & {BUCKETS - 1} as int)"
 
 
+#: What is kept of a code once the order is made: 31 bits. Two tokens of one value only add candidates.
+TOKEN = "cast(shiftrightunsigned(shiftleft(c, 32), 33) as int)"
+
+
 def _ceil(numerator: str, denominator: str) -> str:
     return f"cast(({numerator} + {denominator} - 1) div ({denominator}) as int)"
 
@@ -39,7 +43,8 @@ def prefixed(firsts: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds n (distinct words), tokens (the probing prefix, rarest first) and m1, m2 (a parity bit map of the words).
 
     A token's code is its bucket's count before its digest: codes ascend with rarity, and any fixed
-    order of all tokens keeps prefix filtering exact.
+    order of all tokens keeps prefix filtering exact. A token counted once stands in no other line: it
+    is null in the prefix, where it keeps its place.
     """
     view = f"token_counts_{uuid.uuid4().hex}"
     counts.createOrReplaceTempView(view)
@@ -49,7 +54,7 @@ def prefixed(firsts: DataFrame, counts: DataFrame) -> DataFrame:
     # the scalar subquery brings the table to the tasks once, as a value of fixed size, and is read in place
     coded = firsts.sparkSession.sql(f"select k1, k2, rank, {PARITY.format('<')} as m1, {PARITY.format('>=')} as m2, sort_array(transform(hs, h -> counts[{BUCKET}] | shiftrightunsigned(h, 24))) as codes from (select *, (select counts from {view}) as counts from {view}_lines)")
     n = "size(codes)"
-    return coded.select("k1", "k2", "rank", F.expr(n).alias("n"), F.expr(f"slice(codes, 1, {n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1)").alias("tokens"), "m1", "m2")
+    return coded.select("k1", "k2", "rank", F.expr(n).alias("n"), F.expr(f"transform(slice(codes, 1, {n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1), c -> if(shiftrightunsigned(c, 40) > 1, {TOKEN}, null))").alias("tokens"), "m1", "m2")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -76,17 +81,14 @@ def _tests(a: str, b: str) -> tuple[str, ...]:
 
 
 def token_rows(classes: DataFrame) -> DataFrame:
-    """(c, cls, m1, m2, place): a row per prefix token; place packs n, the token's position and `open`.
-
-    A token counted once stands in no other line and is left out.
-    """
-    rows = classes.select("cls", "n", "open", "m1", "m2", F.posexplode("tokens").alias("i", "c")).filter("shiftrightunsigned(c, 40) > 1")
+    """(c, cls, m1, m2, place): a row per prefix token; place packs n, the token's position and `open`."""
+    rows = classes.select("cls", "n", "open", "m1", "m2", F.posexplode("tokens").alias("i", "c")).filter("c is not null")
     return rows.select("c", "cls", "m1", "m2", F.expr("shiftleft(cast(n as long), 32) + shiftleft(i, 1) + open").alias("place"))
 
 
 def leaders(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a line and the first line with one of its prefix tokens: at most one per token, however many lines share it."""
-    rows = token_rows(classes.withColumn("open", F.lit(0)))
+    """Pairs (a, b) of a line and the first line with one of its rarest tokens: at most one per token, however many lines share it."""
+    rows = token_rows(classes.withColumn("open", F.lit(0)).withColumn("tokens", F.expr(f"slice(tokens, 1, n - {_ceil(f'{2 * NUM} * n', str(NUM + DEN))} + 1)")))
     first = F.min(F.struct("cls", "place", "m1", "m2")).over(Window.partitionBy("c"))
     led = rows.withColumn("x", first).select("cls", "place", "m1", "m2", F.col("x.cls").alias("cls_b"), F.col("x.place").alias("place_b"), F.col("x.m1").alias("m1_b"), F.col("x.m2").alias("m2_b"))
     return led.filter("cls > cls_b and " + _tests("", "_b")[-1]).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
