@@ -44,8 +44,11 @@ def cells(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Log-probabilities (cell, language) from at most SAMPLE labelled documents, those of least digest."""
-    fair = docs.filter(F.col("lang").isin(*languages) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = fair.select("lang", "text", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "text").limit(SAMPLE).collect()
+    labelled = docs.filter(F.col("lang").isin(*languages))
+    # a digest below this share leaves about twice the sample, whatever the number of parts
+    share = min(1.0, 2 * SAMPLE / max(1, labelled.count()))
+    fair = labelled.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))).filter((F.col("_h") < share * (1 << 31)) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = fair.select("lang", "text", "_h").orderBy("_h", "text").limit(SAMPLE).collect()
     counts = np.zeros((CELLS, len(languages)))
     for r in rows:
         counts[:, languages.index(r.lang)] += np.bincount(cells(r.text), minlength=CELLS)
