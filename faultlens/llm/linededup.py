@@ -14,6 +14,8 @@ from faultlens.llm.common import SPACE, ranged, running, stored
 BUCKETS = 1 << 20
 #: Bits of the filter that spares lines of no candidate pair the shuffle; false positives do no harm.
 FILTER_BITS = 1 << 22
+#: Rarest tokens of a line by which it meets a first line before the join.
+LEADING = 4
 #: Jaccard threshold, as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
 #: Bits of 64 that an odd number of a line's words fall on, for half of the words each; a shift takes the low six bits of its count.
@@ -88,7 +90,7 @@ def token_rows(classes: DataFrame) -> DataFrame:
 
 def leaders(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of a line and the first line with one of its rarest tokens: at most one per token, however many lines share it."""
-    rows = token_rows(classes.withColumn("open", F.lit(0)).withColumn("tokens", F.expr(f"slice(tokens, 1, n - {_ceil(f'{2 * NUM} * n', str(NUM + DEN))} + 1)")))
+    rows = token_rows(classes.withColumn("open", F.lit(0)).withColumn("tokens", F.slice("tokens", 1, LEADING)))
     first = F.min(F.struct("cls", "place", "m1", "m2")).over(Window.partitionBy("c"))
     led = rows.withColumn("x", first).select("cls", "place", "m1", "m2", F.col("x.cls").alias("cls_b"), F.col("x.place").alias("place_b"), F.col("x.m1").alias("m1_b"), F.col("x.m2").alias("m2_b"))
     return led.filter("cls > cls_b and " + _tests("", "_b")[-1]).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
@@ -136,7 +138,9 @@ def matched(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     before they are shuffled.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct()
-    some = with_bit(lines.select("rank", "line"), stored(bit_table(needed, "rank"), "bits"), "rank").filter("_bit").drop("_bit")
+    # ranks are no digests: their low bits would crowd a few words of the table
+    key = F.xxhash64("rank")
+    some = with_bit(lines.select("rank", "line", key.alias("_key")), stored(bit_table(needed.select(key.alias("_key")), "_key"), "bits"), "_key").filter("_bit").select("rank", "line")
     first = some.join(needed, "rank").groupBy("rank").agg(F.min("line").alias("line"))
     first = stored(first.select("rank", F.expr(f"array_distinct(array_remove(split(line, r'{SPACE}'), ''))").alias("words")), "lines")
     side = lambda s: first.select(F.col("rank").alias(s), F.col("words").alias(f"words_{s}"))
