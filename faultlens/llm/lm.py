@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from faultlens.llm.common import WordHashes, mixed, stored, words_of
 
 #: Tokens in a block, about.
-BLOCK = 1_000_000
+BLOCK = 700_000
 #: N-grams in a counting group, about.
 GROUP = 2_000_000
 #: Additive smoothing of the unigrams.
