@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from faultlens.operators import diagnosis
+from faultlens.operators.rows import diagnosis_status
 from faultlens.plans.registry import query
 from faultlens.sources.tables import table
 
@@ -56,8 +57,8 @@ CASES = "l_orderkey % 50 = 0"
 FOUND = f"(select q.l_orderkey as case_id, count(s.l_orderkey) as n_members, list_sort(list_distinct(list(s.site))) as candidate_sites from (select l_orderkey, case when l_orderkey % 100 = 0 then profile || 'X' else profile end as profile from {PROFILES} where {CASES}) q left join {SITED} s on s.profile = q.profile group by q.l_orderkey)"
 
 
-def observed(spark, d):
-    p = by_order(spark, d).filter("l_orderkey % 50 = 0")
+def observed(spark, d, cases="l_orderkey % 50 = 0"):
+    p = by_order(spark, d).filter(cases)
     return p.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_orderkey") % 100 == 0, F.concat("profile", F.lit("X"))).otherwise(F.col("profile")).alias("profile"))
 
 
@@ -74,8 +75,8 @@ def catalogue_lookup(spark, d):
 DEVIATING = "(select l_orderkey as case_id, l_linenumber as slot, case when l_tax > 0.07 then 1 else 0 end as timed_out, l_returnflag as digest, l_quantity::int as cycles from lineitem where l_orderkey % 50 = 0 and l_linenumber <= 4)"
 
 
-def observations(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey % 50 = 0 and l_linenumber <= 4").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("slot"), (F.col("l_tax") > 0.07).cast("int").alias("timed_out"), F.col("l_returnflag").alias("digest"), F.col("l_quantity").cast("int").alias("cycles"))
+def observations(spark, d, cases="l_orderkey % 50 = 0 and l_linenumber <= 4"):
+    return table(spark, d, "lineitem").filter(cases).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("slot"), (F.col("l_tax") > 0.07).cast("int").alias("timed_out"), F.col("l_returnflag").alias("digest"), F.col("l_quantity").cast("int").alias("cycles"))
 
 
 def golden(spark):
@@ -107,6 +108,49 @@ def catalogue_self_check(spark, d):
     return diagnosis.self_check(found(spark, d), truth, "case_id", "site").agg(F.count(F.lit(1)).alias("inconsistent"))
 
 
+# The queries above take the cases their SQL names; those below take every order and every slot.
+
+
+def per_profile(spark, d, asked):
+    """Each distinct profile asked for, looked up once: cases of one profile times its members would grow as the square."""
+    ids, faults = diagnosis.catalogue(by_order(spark, d), "l_orderkey")
+    once = asked.select("profile", F.col("profile").alias("asked")).distinct()
+    return diagnosis.lookup(once, ids, faults, "asked", "l_orderkey", site())
+
+
+@query()
+def catalogue_lookup_whole(spark, d):
+    seen = observed(spark, d, "true")
+    hits = per_profile(spark, d, seen).select("asked", "n_members", F.size("candidate_sites").alias("n_sites"), F.aggregate("candidate_sites", F.lit(0).cast("long"), lambda a, x: a + x).alias("site_sum"))
+    return seen.join(hits, seen["profile"] == hits["asked"]).select("case_id", "n_members", "n_sites", "site_sum")
+
+
+def deviating_whole(spark, d):
+    slots = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("slot")).distinct()
+    return diagnosis.deviations(observations(spark, d, "true"), slots.select("slot", F.lit("N").alias("digest"), F.lit(25).alias("cycles")), "slot")
+
+
+@query()
+def deviation_reasons_whole(spark, d):
+    return deviating_whole(spark, d).groupBy(F.array_join("reasons", "+").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def diagnose_observations_whole(spark, d):
+    n = deviating_whole(spark, d).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_deviating"))
+    out = catalogue_lookup_whole(spark, d).join(n, "case_id", "left").withColumn("n_deviating", F.coalesce("n_deviating", F.lit(0)))
+    return out.select("case_id", "n_deviating", "n_members", "n_sites", diagnosis_status(F.col("n_deviating"), F.col("n_members"), F.col("n_sites")).alias("result"))
+
+
+@query()
+def catalogue_self_check_whole(spark, d):
+    """Every stored profile, diagnosed as it stands: instances whose own site is not among the candidates."""
+    stored = by_order(spark, d)
+    truth = stored.select("l_orderkey", "profile", site().alias("site"))
+    named = per_profile(spark, d, stored).select(F.col("asked").alias("profile"), F.explode("candidate_sites").alias("site"))
+    return truth.join(named, ["profile", "site"], "left_anti").agg(F.count(F.lit(1)).alias("inconsistent"))
+
+
 STRATA = {"1-URGENT": 4, "2-HIGH": 4, "5-LOW": 2}
 STRATIFIED = "(select o_orderkey, o_orderpriority, o_orderstatus, o_custkey from (select *, row_number() over (partition by o_orderpriority order by sha256('pilot|' || o_orderkey::varchar), o_orderkey) as r from orders) where (o_orderpriority in ('1-URGENT', '2-HIGH') and r <= 4) or (o_orderpriority = '5-LOW' and r <= 2))"
 
@@ -126,8 +170,16 @@ union all select 'exact_site_all', count(*) filter (fault_present and anomaly an
 union all select 'candidate_coverage', count(*) filter (fault_present and cat <> 'INVISIBLE'), count(*) filter (fault_present and cat <> 'INVISIBLE') from t
 """)
 def blinded_score(spark, d):
+    return blinded(table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == 0))
+
+
+@query()
+def blinded_score_whole(spark, d):
+    return blinded(table(spark, d, "orders"))
+
+
+def blinded(o):
     k, s = F.col("o_orderkey"), F.col("o_custkey") % 10
-    o = table(spark, d, "orders").filter(k % 2 == 0)
     truth = o.select(k.alias("case_id"), (F.col("o_orderstatus") != "O").alias("fault_present"), s.alias("site"), F.element_at(F.array(F.lit("UNIQUE"), F.lit("AMBIGUOUS"), F.lit("INVISIBLE")), (k % 3 + 1).cast("int")).alias("selection_category"))
     said = o.select(k.alias("case_id"), F.when(k % 4 != 0, "AMBIGUOUS_SITES_IN_CATALOG").otherwise("NO_OBSERVED_ANOMALY").alias("result"), F.when(k % 5 == 0, F.array(s)).otherwise(F.array(s, F.lit(11).cast("long"))).alias("candidate_sites"))
     return diagnosis.score_blinded(truth, said)
