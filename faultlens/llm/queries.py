@@ -86,6 +86,10 @@ select d.doc_id, g.text, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0)
 """
 
 
+def op4_passages(spark: SparkSession, d: str) -> DataFrame:
+    return substring.dedup_windows(table(spark, d, "documents"))
+
+
 def op5_tag_paths(spark: SparkSession, d: str) -> DataFrame:
     return html.main_text(table(spark, d, "pages"))
 
@@ -149,6 +153,6 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(nh.n, 0)::bigint as n_hit,
 from w left join nh on nh.doc_id = w.doc_id left join ni on ni.doc_id = w.doc_id
 """
 
-FUNCTIONS = (op1_mixing, op2_warc, op3_lm_scoring, op4_line_hashing, op5_tag_paths, op6_line_dedup, op7_language_id, op8_lsh_forest, op9_sign_hashing, op10_decontamination)
+FUNCTIONS = (op1_mixing, op2_warc, op3_lm_scoring, op4_line_hashing, op4_passages, op5_tag_paths, op6_line_dedup, op7_language_id, op8_lsh_forest, op9_sign_hashing, op10_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_warc": OP2, "op3_lm_scoring": OP3, "op4_line_hashing": OP4, "op8_lsh_forest": OP8, "op9_sign_hashing": OP9, "op10_decontamination": OP10}

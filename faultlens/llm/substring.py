@@ -1,18 +1,21 @@
-"""Repeated passages by line or paragraph hashing: the earliest occurrence stays, the rest go."""
+"""Repeated passages by line or paragraph hashing, and by exact windows of words: the earliest occurrence stays, the rest go."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import LOWER
+from faultlens.llm.common import LOWER, WordHashes, mixed, stored
 
 #: A unit of fewer words is left alone: short lines repeat by chance.
 MIN_WORDS = 10
+#: Words of a window: a passage of over 50 words holds one. Words of the grams that stand for windows.
+WIDTH, GRAM = 51, 16
 PARTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t]*\n[\n\t ]*")}
 
 
@@ -101,3 +104,193 @@ def dedup_passages(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     owners = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner")).groupBy("owner").agg(F.collect_list(F.struct("k1", "k2")).alias("owned"))
     out = rows.join(owners, F.col("doc_id") == F.col("owner"), "left").select("doc_id", "text", "owned")
     return out.mapInArrow(_strip(unit, min_words), STRIPPED)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CUT = "doc_id long, text string, n_units long, n_removed long, n_passages long, removed_chars long, spans array<long>"
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Digest of every n consecutive words, from the words' digests, by doubling."""
+    many = len(h) - n + 1
+    if many < 1:
+        return h[:0]
+    size, done, power, out = 1, 0, h, None
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    while True:
+        if n & size:
+            part = power[done : done + many]
+            out = part if out is None else mixed(out * odd + part)
+            done += size
+        if 2 * size > n:
+            return out
+        power = mixed(power[:-size] * odd + power[size:])
+        size *= 2
+
+
+def least_of(g: np.ndarray, n: int) -> np.ndarray:
+    """Least of every n consecutive values."""
+    size = 1
+    while 2 * size <= n:
+        g = np.minimum(g[:-size], g[size:])
+        size *= 2
+    return np.minimum(g[: len(g) - n + size], g[n - size :]) if n > size else g
+
+
+class Words:
+    """Digests of a text's words, with the line of each, and the representative gram of every window.
+
+    The representative is the least of the window's gram digests: windows of equal words have equal ones.
+    """
+
+    def __init__(self, text: str, code: WordHashes) -> None:
+        self.lines = [x.split() for x in text.encode("utf-8", "surrogatepass").translate(LOWER).split(b"\n")]
+        self.h = code.array([w for x in self.lines for w in x])
+        self.line = np.repeat(np.arange(len(self.lines)), [len(x) for x in self.lines])
+        self.grams = grams(self.h, GRAM)
+        self.least = least_of(self.grams, WIDTH - GRAM + 1) if len(self.h) >= WIDTH else self.grams[:0]
+
+    def gone_lines(self, owned: set, least: int) -> np.ndarray:
+        """Lines that stand earlier, here or in another document."""
+        import xxhash
+
+        gone = np.zeros(len(self.lines), bool)
+        for k, x in enumerate(self.lines):
+            if len(x) >= max(least, 1):
+                value = xxhash.xxh3_128_intdigest(b" ".join(x))
+                d = (value >> 64) - (1 << 63), (value & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                gone[k] = d not in owned
+                owned.discard(d)
+        return gone
+
+    def open_windows(self, single: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, digests) of windows that may stand elsewhere.
+
+        Left out are those whose representative stands nowhere else, and those inside a line that
+        goes: the line's earlier copy has them all.
+        """
+        if not len(self.least):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        first, last = self.line[: len(self.least)], self.line[WIDTH - 1 :]
+        at = np.flatnonzero(~np.isin(self.least, single) & ~((first == last) & gone[first]))
+        return at, (grams(self.h, WIDTH)[at] if len(at) else np.empty(0, np.uint64))
+
+
+def _longs(values) -> np.ndarray:
+    return np.asarray([] if values is None else values, np.int64).view(np.uint64)
+
+
+def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    code = WordHashes()
+    for batch in batches:
+        ids, keys, times = [], [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = Words(text, code)
+            if len(w.least):
+                found = np.unique(w.least)
+                g, n = np.unique(w.grams, return_counts=True)
+                keys.append(found.view(np.int64))
+                times.append(np.minimum(n[np.searchsorted(g, found)], 2))
+                ids.append(np.full(len(found), i, np.int64))
+        out = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, keys, times)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "k", "n"])
+
+
+def _windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = WordHashes()
+        for batch in batches:
+            ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, text, owned, single in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                w = Words(text, code)
+                if len(w.least):
+                    gone = w.gone_lines({(o["k1"], o["k2"]) for o in owned or ()}, least)
+                    keys.append(np.unique(w.open_windows(_longs(single), gone)[1]).view(np.int64))
+                    ids.append(np.full(len(keys[-1]), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, keys)], ["doc_id", "k"])
+
+    return run
+
+
+def _cut(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = WordHashes()
+        for batch in batches:
+            out = []
+            for i, text, owned, single, first in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if text is None or i is None:
+                    out.append((i, text, len(units(text, "line")) if text is not None else 0, 0, 0, 0, []))
+                    continue
+                w = Words(text, code)
+                gone = w.gone_lines({(o["k1"], o["k2"]) for o in owned or ()}, least)
+                at, digests = w.open_windows(_longs(single), gone)
+                cover = np.zeros(len(w.h) + 1, np.int64)
+                if len(at):
+                    u, index, back = np.unique(digests, return_index=True, return_inverse=True)
+                    again = at[~np.isin(u, _longs(first))[back] | (at >= at[index][back] + WIDTH)]
+                    np.add.at(cover, again, 1)
+                    np.add.at(cover, again + WIDTH, -1)
+                covered = np.cumsum(cover)[:-1] > 0
+                out.append((i, *_without(text, w, gone, covered)))
+            kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in CUT.split(", ")])
+
+    return run
+
+
+def _without(text: str, w: Words, gone: np.ndarray, covered: np.ndarray) -> tuple:
+    lines = units(text, "line")
+    spans: list[tuple[int, int]] = []
+    kept: list[str] = []
+    removed = 0
+    if not covered.any() and not gone.any():
+        return text, len(lines), 0, 0, 0, []
+    words = [(m.start(), m.end()) for m in WORD.finditer(text)] if covered.any() else []
+    ends = np.cumsum([len(x) for x in w.lines])
+    for k, (a, b) in enumerate(lines):
+        lo, hi = int(ends[k]) - len(w.lines[k]), int(ends[k])
+        if gone[k] or (hi > lo and covered[lo:hi].all()):
+            spans.append((a, b))
+            removed += 1
+            continue
+        part, now = [], a
+        p = lo
+        while words and p < hi:
+            q = p
+            while q < hi and covered[q]:
+                q += 1
+            if q > p:  # with the space up to the next word
+                cut = words[p][0], words[q][0] if q < hi else words[q - 1][1]
+                spans.append(cut)
+                part.append(text[now : cut[0]])
+                now = cut[1]
+            p = q + 1
+        kept.append("".join(part) + text[now:b])
+    runs = int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
+    return "\n".join(kept), len(lines), removed, runs, sum(b - a for a, b in spans), [x for s in spans for x in s]
+
+
+def dedup_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every document without the lines, and without the passages of over 50 words at any word offset, that occur earlier.
+
+    docs: doc_id, text. Lines go as in dedup_passages. A window of WIDTH words goes if the same words
+    stand in a document of smaller doc_id, or in this one before it and clear of their first
+    occurrence here; a passage may begin and end in mid-line and run over line feeds. Result, a row
+    per row: doc_id, text, n_units (lines), n_removed (lines of which nothing is left),
+    n_passages (runs of words in repeated windows), removed_chars, spans (code point offsets).
+    Null texts, null ids, repeated ids, no rows and other columns: as in dedup_passages.
+
+    Exact but for 64-bit digests: equal windows have the same least gram digest, so a window whose
+    representative stands once in the corpus is not looked at again; of the others each digest
+    keeps its smallest doc_id. Documents get what they own, so a passage's number of copies costs nothing.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known = rows.filter("doc_id is not null and text is not null")
+    seen = known.mapInArrow(_digests("line", max(min_words, 1)), "doc_id long, k1 long, k2 long")
+    lines = stored(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("_line")).groupBy("_line").agg(F.collect_list(F.struct("k1", "k2")).alias("owned")), "lines")
+    reps = known.mapInArrow(_representatives, "doc_id long, k long, n long").groupBy("k").agg(F.sum("n").alias("n"), F.min("doc_id").alias("_single"))
+    single = stored(reps.filter("n = 1").groupBy("_single").agg(F.collect_list("k").alias("single")), "single")
+    met = rows.join(lines, F.col("doc_id") == F.col("_line"), "left").join(single, F.col("doc_id") == F.col("_single"), "left").select("doc_id", "text", "owned", "single")
+    windows = met.filter("doc_id is not null and text is not null").mapInArrow(_windows(min_words), "doc_id long, k long")
+    first = stored(windows.groupBy("k").agg(F.min("doc_id").alias("_first")).groupBy("_first").agg(F.collect_list("k").alias("first")), "first")
+    return met.join(first, F.col("doc_id") == F.col("_first"), "left").select("doc_id", "text", "owned", "single", "first").mapInArrow(_cut(min_words), CUT)

@@ -242,6 +242,54 @@ def test_paragraphs_and_edges(spark):
     assert substring.dedup_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def windows_brute(texts, least, width=51):
+    """Words left of each document, by the definition."""
+    owner, seen, out = {}, set(), {}
+    for i in sorted(k for k in texts if texts[k] is not None):
+        w = words(texts[i])
+        cover, here = set(), {}
+        for p in range(len(w) - width + 1):
+            x = tuple(w[p : p + width])
+            here.setdefault(x, p)
+            if owner.setdefault(x, i) != i or p >= here[x] + width:
+                cover.update(range(p, p + width))
+        left, at = [], 0
+        for line in texts[i].split("\n"):
+            key = tuple(words(line))
+            if not (len(key) >= least and key in seen):
+                left += [x for k, x in enumerate(key, at) if k not in cover]
+            if len(key) >= least:
+                seen.add(key)
+            at += len(key)
+        out[i] = left
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 10])
+def test_passages_at_any_offset(spark, corpus, least):
+    rng = random.Random(8)
+    passages = [prose(rng, n) for n in (51, 60, 54, 120)]
+    extra = []
+    for i in range(40):
+        w = passages[i % 4].split()
+        cut = rng.randrange(1, len(w))
+        body = " ".join(w[:cut]) + rng.choice(["\n", "  ", " \n "]) + " ".join(w[cut:])
+        if i % 4 == 2:
+            body = "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))  # set in short lines
+        extra.append((200 + i, f"{prose(rng, rng.randrange(1, 30))} {body.upper() if i % 3 else body} {prose(rng, rng.randrange(1, 30))}", "", "s", 0))
+    extra += [(300, "a " * 200, "", "", 0), (301, f"{prose(rng, 50)} {passages[0][:-1]}", "", "", 0), (302, f"x {passages[3]} y {passages[3]} z", "", "", 0), (None, passages[0], "", "", 0)]
+    docs = corpus.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, DOCS)).repartition(5)
+    found = substring.dedup_windows(docs, least).collect()
+    got = {r.doc_id: r for r in found if r.doc_id is not None}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    assert {i: words(r.text) for i, r in got.items() if r.text is not None} == windows_brute(texts, least)
+    assert [r.text for r in found if r.doc_id is None] == [passages[0]] and got[60].text is None
+    assert all(got[200 + i].n_passages for i in range(4, 40))
+    for i, r in got.items():
+        gone = sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2]))
+        assert gone == r.removed_chars and (r.text is None or words("".join(texts[i][a:b] + "\n" for a, b in zip([0, *r.spans[1::2]], [*r.spans[::2], len(texts[i])]))) == words(r.text))
+
+
 # op 5
 
 PAGE = """<!doctype html><html lang=en><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body class="has-sidebar">
