@@ -87,7 +87,7 @@ select d.doc_id, g.text, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0)
 
 
 def op4_passages(spark: SparkSession, d: str) -> DataFrame:
-    return substring.dedup_windows(table(spark, d, "documents"))
+    return substring.dedup_windows(table(spark, d, "documents"), min_words=1)
 
 
 def op5_tag_paths(spark: SparkSession, d: str) -> DataFrame:

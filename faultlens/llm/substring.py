@@ -149,6 +149,9 @@ class Words:
         self.line = np.repeat(np.arange(len(self.lines)), [len(x) for x in self.lines])
         self.grams = grams(self.h, GRAM)
         self.least = least_of(self.grams, WIDTH - GRAM + 1) if len(self.h) >= WIDTH else self.grams[:0]
+        # a gram stands for windows in a row
+        self.starts = np.flatnonzero(np.concatenate([[True], self.least[1:] != self.least[:-1]])) if len(self.least) else np.empty(0, np.int64)
+        self.runs = np.diff(self.starts, append=len(self.least))
 
     def gone_lines(self, owned: set, least: int) -> np.ndarray:
         """Lines that stand earlier, here or in another document."""
@@ -163,7 +166,7 @@ class Words:
                 owned.discard(d)
         return gone
 
-    def open_windows(self, single: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def open_windows(self, single: list | None, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, digests) of windows that may stand elsewhere.
 
         Left out are those whose representative stands nowhere else, and those inside a line that
@@ -171,13 +174,15 @@ class Words:
         """
         if not len(self.least):
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        first, last = self.line[: len(self.least)], self.line[WIDTH - 1 :]
-        at = np.flatnonzero(~np.isin(self.least, single) & ~((first == last) & gone[first]))
-        return at, (grams(self.h, WIDTH)[at] if len(at) else np.empty(0, np.uint64))
-
-
-def _longs(values) -> np.ndarray:
-    return np.asarray([] if values is None else values, np.int64).view(np.uint64)
+        alone = set(single or ())
+        open_ = np.repeat(np.array([x not in alone for x in self.least[self.starts].view(np.int64).tolist()]), self.runs)
+        if gone.any():
+            first, last = self.line[: len(self.least)], self.line[WIDTH - 1 :]
+            open_ &= ~((first == last) & gone[first])
+        at = np.flatnonzero(open_)
+        if not len(at):
+            return at, np.empty(0, np.uint64)
+        return at, grams(self.h[at[0] : at[-1] + WIDTH], WIDTH)[at - at[0]]
 
 
 def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +192,13 @@ def _representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             w = Words(text, code)
             if len(w.least):
-                found = np.unique(w.least)
-                g, n = np.unique(w.grams, return_counts=True)
-                keys.append(found.view(np.int64))
-                times.append(np.minimum(n[np.searchsorted(g, found)], 2))
-                ids.append(np.full(len(found), i, np.int64))
+                times_of: dict[int, int] = {}
+                # one gram stands for WIDTH - GRAM + 1 windows at most: a longer run has it twice
+                for x, n in zip(w.least[w.starts].view(np.int64).tolist(), w.runs.tolist(), strict=True):
+                    times_of[x] = 2 if x in times_of or n > WIDTH - GRAM + 1 else 1
+                keys.append(np.fromiter(times_of, np.int64, len(times_of)))
+                times.append(np.fromiter(times_of.values(), np.int64, len(times_of)))
+                ids.append(np.full(len(times_of), i, np.int64))
         out = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, keys, times)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "k", "n"])
 
@@ -205,7 +212,7 @@ def _windows(least: int):
                 w = Words(text, code)
                 if len(w.least):
                     gone = w.gone_lines({(o["k1"], o["k2"]) for o in owned or ()}, least)
-                    keys.append(np.unique(w.open_windows(_longs(single), gone)[1]).view(np.int64))
+                    keys.append(np.unique(w.open_windows(single, gone)[1]).view(np.int64))
                     ids.append(np.full(len(keys[-1]), i, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (ids, keys)], ["doc_id", "k"])
 
@@ -223,14 +230,13 @@ def _cut(least: int):
                     continue
                 w = Words(text, code)
                 gone = w.gone_lines({(o["k1"], o["k2"]) for o in owned or ()}, least)
-                at, digests = w.open_windows(_longs(single), gone)
-                cover = np.zeros(len(w.h) + 1, np.int64)
+                at, digests = w.open_windows(single, gone)
+                covered = np.zeros(len(w.h), bool)
                 if len(at):
                     u, index, back = np.unique(digests, return_index=True, return_inverse=True)
-                    again = at[~np.isin(u, _longs(first))[back] | (at >= at[index][back] + WIDTH)]
-                    np.add.at(cover, again, 1)
-                    np.add.at(cover, again + WIDTH, -1)
-                covered = np.cumsum(cover)[:-1] > 0
+                    again = at[~np.isin(u, np.asarray(first or (), np.int64).view(np.uint64))[back] | (at >= at[index][back] + WIDTH)]
+                    cover = np.bincount(again, minlength=len(w.h) + 1) - np.bincount(again + WIDTH, minlength=len(w.h) + 1)
+                    covered = np.cumsum(cover)[:-1] > 0
                 out.append((i, *_without(text, w, gone, covered)))
             kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in CUT.split(", ")])

@@ -290,6 +290,15 @@ def test_passages_at_any_offset(spark, corpus, least):
         assert gone == r.removed_chars and (r.text is None or words("".join(texts[i][a:b] + "\n" for a, b in zip([0, *r.spans[1::2]], [*r.spans[::2], len(texts[i])]))) == words(r.text))
 
 
+def test_passages_query_takes_short_lines(spark, tmp_path):
+    from faultlens.llm import queries
+
+    rows = [(1, "Read more\nfirst text\n\n!", "", "", 0), (2, "read  MORE\nsecond text\n\nend", "", "", 0), (3, "end\nthird", "", "", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries.QUERIES["op4_passages"](spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("second text\n\nend", 1), 3: ("third", 1)}
+
+
 # op 5
 
 PAGE = """<!doctype html><html lang=en><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body class="has-sidebar">
