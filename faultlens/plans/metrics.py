@@ -129,7 +129,8 @@ def site_statistics(spark, d):
     return metrics.site_statistics(ordered(spark, d), "o_custkey", THRESHOLD).withColumn("squared_error", F.round("squared_error", 6))
 
 
-REPLICATES = 50
+#: Replicates of the queries with SQL; the reference, and the queries without SQL, take REFERENCE_REPLICATES.
+REPLICATES, REFERENCE_REPLICATES = 50, 1000
 DRAWN = f"""
 st as (select source as site, row_number() over (order by source) - 1 as position, {COUNTS} from {SCORED} group by source),
 n as (select count(*) as n from st),
@@ -138,11 +139,11 @@ su as (select rep as replicate, sum(times * tn)::bigint as tn, sum(times * fp)::
 """
 
 
-def bootstrapped(spark, d):
+def bootstrapped(spark, d, replicates=REPLICATES):
     st = metrics.site_statistics(scored(spark, d), "source", THRESHOLD)
     sites = st.select("source").orderBy("source").collect()  # one row per source of the labelled sample
     position = spark.createDataFrame([(r.source, i) for i, r in enumerate(sites)], "source string, position long")
-    return metrics.bootstrap(st, metrics.hashed_draws(position, "source", REPLICATES, "draws", len(sites)), "source")
+    return metrics.bootstrap(st, metrics.hashed_draws(position, "source", replicates, "draws", len(sites)), "source")
 
 
 @query(f"with {DRAWN} select replicate, round(mcc, 6) as mcc from {measured('su')}")
@@ -155,12 +156,22 @@ def bootstrap_interval(spark, d):
     return rounded(metrics.interval(bootstrapped(spark, d), "mcc"), ["ci_lower", "ci_upper"])
 
 
+@query()
+def bootstrap_replicates_whole(spark, d):
+    return rounded(bootstrapped(spark, d, REFERENCE_REPLICATES), ["mcc"])
+
+
+@query()
+def bootstrap_interval_whole(spark, d):
+    return rounded(metrics.interval(bootstrapped(spark, d, REFERENCE_REPLICATES), "mcc"), ["ci_lower", "ci_upper"])
+
+
 @query()
 def seeded_bootstrap(spark, d):
     st = metrics.site_statistics(scored(spark, d), "source", THRESHOLD)
     sites = st.select("source").orderBy("source").collect()
     position = spark.createDataFrame([(r.source, i) for i, r in enumerate(sites)], "source string, position long")
-    draws = metrics.seeded_draws(spark, len(sites), 200, 20260909).join(position, "position").select("replicate", "source", "times")
+    draws = metrics.seeded_draws(spark, len(sites), REFERENCE_REPLICATES, 20260909).join(position, "position").select("replicate", "source", "times")
     return metrics.interval(metrics.bootstrap(st, draws, "source"), "mcc")
 
 

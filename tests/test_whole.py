@@ -84,3 +84,15 @@ def test_every_customer_has_an_arc(spark, small):
     assert rows(spark, small, "strong_components_whole") == strong
     assert rows(spark, small, "weak_components_whole") == sorted(label.items())
     assert rows(spark, small, "component_sizes_whole") == sorted(Counter(label.values()).items())
+
+
+def test_bootstraps_take_the_references_replicates(spark, data):
+    import numpy as np
+
+    reps = rows(spark, data, "bootstrap_replicates_whole")
+    assert [r[0] for r in reps] == list(range(1000))
+    low, high, n = rows(spark, data, "bootstrap_interval_whole")[0]
+    assert n == 1000 and np.allclose([low, high], np.percentile([m for _, m in reps], [2.5, 97.5]), atol=2e-6)
+    assert [r[2] for r in rows(spark, data, "seeded_bootstrap")] == [1000]
+    fifty = rows(spark, data, "bootstrap_replicates")
+    assert [m for _, m in reps[:50]] == [m for _, m in fifty]
