@@ -24,8 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The text model is fitted on labelled rows of the documents table. Documents with a null doc_id
     have no identity to carry through the stages and go, too.
     """
-    model = langid.fit(table(spark, sf_dir, "documents"))
-    found = langid.identify(langid.document_rows(docs), model, is_html=False).filter("kept")
+    known = table(spark, sf_dir, "documents")
+    languages = langid.labels(known)
+    found = langid.identify(langid.document_rows(docs), langid.fit(known, languages), is_html=False, languages=languages).filter("kept")
     # rows that repeat a doc_id may differ in text: one that has a language keeps its id
     best = found.groupBy("id").agg(F.max(F.struct("confidence", "lang")).alias("best"))
     return docs.join(best, F.col("doc_id") == F.col("id")).withColumn("lang", F.col("best.lang")).select(*COLUMNS)

@@ -20,6 +20,11 @@ SAMPLE, SAMPLE_CHARS = 2000, 20_000
 CELLS = 1 << 16
 #: Trigrams a text's likelihood weighs as, at most: neighbouring trigrams tell much the same.
 EVIDENCE = 60.0
+#: Trigrams spread evenly over a language's model, beside a language's mean sample: an unseen trigram costs the same in each.
+SPREAD = CELLS / 2
+#: A text of no modelled language is taken to be as likely as evenly spread trigrams, times e^OTHER each; fewer trigrams than OTHER_LEAST don't speak for it.
+OTHER, OTHER_LEAST = 0.3, 20
+UNKNOWN = "und"
 #: Weight of a host's (or suffix's) parent, in documents.
 HOST_PRIOR, SUFFIX_PRIOR = 4.0, 20.0
 #: A text with a smaller share of letters has no language.
@@ -42,9 +47,19 @@ def cells(text: str) -> np.ndarray:
     return ((raw[:-2] * np.uint32(65599) + raw[1:-1]) * np.uint32(65599) + raw[2:]) * np.uint32(2654435761) >> np.uint32(16)
 
 
+def tag() -> Column:
+    return F.lower(F.substring_index("lang", "-", 1))
+
+
+def labels(docs: DataFrame) -> tuple[str, ...]:
+    """The languages that documents are labelled with."""
+    found = docs.select(tag().alias("lang")).filter(f"lang rlike '^[a-z]{{2,8}}$' and lang <> '{UNKNOWN}'").distinct().collect()  # a row per language
+    return tuple(sorted(r.lang for r in found))
+
+
 def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log-probabilities (cell, language) from at most SAMPLE labelled documents, those of least digest."""
-    labelled = docs.filter(F.col("lang").isin(*languages))
+    """Log-probabilities (cell; language, and at last any other) from at most SAMPLE labelled documents, those of least digest."""
+    labelled = docs.withColumn("lang", tag()).filter(F.col("lang").isin(*languages))
     # a digest below this share leaves about twice the sample, whatever the number of parts
     share = min(1.0, 2 * SAMPLE / max(1, labelled.count()))
     fair = labelled.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))).filter((F.col("_h") < share * (1 << 31)) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
@@ -52,8 +67,9 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     counts = np.zeros((CELLS, len(languages)))
     for r in rows:
         counts[:, languages.index(r.lang)] += np.bincount(cells(r.text), minlength=CELLS)
-    counts += 0.5
-    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    floor = SPREAD / (counts.sum() / max(1, len(languages)) + SPREAD)
+    model = np.log((1 - floor) * counts / np.maximum(1, counts.sum(axis=0)) + floor / CELLS)
+    return np.hstack([model, np.full((CELLS, 1), OTHER - np.log(CELLS))]).astype(np.float32)
 
 
 def _evidence(model: np.ndarray, is_html: bool):
@@ -69,7 +85,10 @@ def _evidence(model: np.ndarray, is_html: bool):
                 declared.append((said or "").lower().partition("-")[0])
                 letters.append(sum(map(str.isalpha, text)) / max(1, len(text) - text.count(" ") - text.count("\n")))
                 at = cells(text)
-                ll.append((model[at].sum(axis=0, dtype=np.float64) * min(1.0, EVIDENCE / len(at))).tolist() if len(at) else [0.0] * model.shape[1])
+                said = (model[at].sum(axis=0, dtype=np.float64) * min(1.0, EVIDENCE / len(at))).tolist() if len(at) else [0.0] * model.shape[1]
+                if len(at) < OTHER_LEAST:
+                    said[-1] = min(said[-1], max(said[:-1], default=0.0))
+                ll.append(said)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(declared, pa.string()), batch.column(3), batch.column(4), pa.array(letters, pa.float64()), pa.array(ll, pa.list_(pa.float64()))], [c.split()[0] for c in EVIDENCED.split(", ")])
 
     return run
@@ -88,13 +107,14 @@ def identify(rows: DataFrame, model: np.ndarray, is_html: bool, languages: tuple
     host's prior. The last is learned from the text alone: sums of text posteriors by host, smoothed
     towards its address suffix, and that towards all rows; a row's own part is left out. How often
     each language is declared how is learned alike; unknown declarations count as one.
-    lang is 'und' (and the row not kept) if the text is null, empty or has too few letters; a row of
-    lower confidence than CONFIDENCE is not kept. Null hosts, suffixes and declarations are values of
+    One more hypothesis, with host prior and declarations of its own, is that the text is in none of
+    the languages. lang is 'und' (and the row not kept) where that wins, or if the text is null, empty
+    or has too few letters; a row of lower confidence than CONFIDENCE is not kept. Null hosts, suffixes and declarations are values of
     their own; repeated rows count each.
     A host's rows are summed by partial aggregation; hosts never meet in one task.
     """
-    n = len(languages)
-    listed = "array(" + ", ".join(f"'{x}'" for x in languages) + ")"
+    n = len(languages) + 1
+    listed = "array(" + ", ".join(f"'{x}'" for x in (*languages, UNKNOWN)) + ")"
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.lit("?"))
     seen = rows.select("id", "text", "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix")).mapInArrow(_evidence(model, is_html), EVIDENCED)
     seen = seen.withColumn("declared", known).withColumn("p", _softmax("ll", n)).withColumn("texty", F.col("letters") >= LETTERS)
@@ -106,9 +126,9 @@ def identify(rows: DataFrame, model: np.ndarray, is_html: bool, languages: tuple
     whole = [x or 0.0 for x in hosts.agg(*again).first()]
     overall = [(w + 1.0) / (sum(whole) + n) for w in whole]
     said = {r.declared: [r[f"s{i}"] for i in range(n)] for r in seen.groupBy("declared").agg(*sums).collect()}  # a row per language
-    kinds = [*languages, "?"]
+    kinds = [*languages, "?"]  # "?" is what a text in another language declares
     # probability of a declaration under a language: counts and a mild belief that it is true
-    belief = [[(said.get(k, [0.0] * n)[i] + (2.0 if k == languages[i] else 0.5)) / (sum(v[i] for v in said.values()) + 2.0 + 0.5 * n) for i in range(n)] for k in kinds]
+    belief = [[(said.get(k, [0.0] * n)[i] + (2.0 if k == kinds[i] else 0.5)) / (sum(v[i] for v in said.values()) + 2.0 + 0.5 * n) for i in range(n)] for k in kinds]
     declared = "element_at(map(" + ", ".join(f"'{k}', array({', '.join(repr(float(x)) + 'D' for x in row)})" for k, row in zip(kinds, belief, strict=True)) + "), declared)"
     total = lambda s: "(" + " + ".join(f"{s}{i}" for i in range(n)) + ")"
     parents = hosts.join(suffixes, "suffix").select("host", "suffix", *[F.col(f"s{i}") for i in range(n)], *[F.expr(f"(t{i} + {SUFFIX_PRIOR}D * {overall[i]!r}D) / ({total('t')} + {SUFFIX_PRIOR}D)").alias(f"u{i}") for i in range(n)])
@@ -116,9 +136,9 @@ def identify(rows: DataFrame, model: np.ndarray, is_html: bool, languages: tuple
     own = lambda i: f"if(texty, p[{i}], 0D)"
     prior = "array(" + ", ".join(f"(greatest(s{i} - {own(i)}, 0D) + {HOST_PRIOR}D * u{i}) / ({total('s')} - if(texty, 1D, 0D) + {HOST_PRIOR}D)" for i in range(n)) + ")"
     met = met.withColumn("fused", F.expr(f"transform(ll, (v, i) -> v + ln({declared}[i]) + ln({prior}[i]))")).withColumn("q", _softmax("fused", n))
-    best = lambda c: F.expr(f"if(texty, element_at({listed}, cast(array_position({c}, array_max({c})) as int)), 'und')")
+    best = lambda c: F.expr(f"if(texty, element_at({listed}, cast(array_position({c}, array_max({c})) as int)), '{UNKNOWN}')")
     confidence = F.when(F.col("texty"), F.array_max("q")).otherwise(0.0)
-    return met.select("id", best("q").alias("lang"), confidence.alias("confidence"), best("p").alias("text_lang"), "declared", "host", (F.col("texty") & (confidence >= CONFIDENCE)).alias("kept"))
+    return met.select("id", best("q").alias("lang"), confidence.alias("confidence"), best("p").alias("text_lang"), "declared", "host", (F.col("texty") & (confidence >= CONFIDENCE) & (best("q") != UNKNOWN)).alias("kept"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -95,8 +95,9 @@ def op5_tag_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
-    model = langid.fit(table(spark, d, "documents"))
-    found = langid.identify(langid.page_rows(table(spark, d, "pages")), model, is_html=True)
+    docs = table(spark, d, "documents")
+    languages = langid.labels(docs)
+    found = langid.identify(langid.page_rows(table(spark, d, "pages")), langid.fit(docs, languages), is_html=True, languages=languages)
     return found.withColumnRenamed("id", "page_id").withColumn("confidence", F.round("confidence", 6))
 
 

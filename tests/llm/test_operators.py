@@ -422,6 +422,34 @@ def test_language_evidence(spark, data):
     assert langid.identify(langid.page_rows(spark.createDataFrame([], "page_id long, html string, url string")), model, is_html=True).count() == 0
 
 
+FOREIGN = [
+    "Съешь ещё этих мягких французских булок да выпей же чаю. Вчера вечером мы долго гуляли по набережной и говорили о книгах.",
+    "昨天晚上我们沿着河边走了很久，一边走一边谈论最近读过的书和看过的电影，天气很好。",
+    "Wczoraj wieczorem długo spacerowaliśmy po nabrzeżu i rozmawialiśmy o książkach, które ostatnio przeczytaliśmy w domu.",
+    "مشينا مساء أمس طويلا على الكورنيش وتحدثنا عن الكتب التي قرأناها مؤخرا",
+]
+
+
+def test_languages_without_a_model(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = langid.fit(docs)
+    rows = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string, source string")
+    both = langid.document_rows(rows).unionByName(langid.document_rows(docs).withColumn("id", F.col("id") + 1000))
+    got = {r.id: r for r in langid.identify(both, model, is_html=False).collect()}
+    assert [(got[i].lang, got[i].text_lang, got[i].kept) for i in range(4)] == [("und", "und", False)] * 4
+    assert sum(r.kept for i, r in got.items() if i >= 1000) > 0.97 * (len(got) - 4)
+
+
+def test_languages_come_from_the_labels(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    polish = spark.createDataFrame([(10**6 + i, FOREIGN[2] * 5, "pl-PL") for i in range(30)], "doc_id long, text string, lang string")
+    known = docs.unionByName(polish)
+    assert langid.labels(known) == ("de", "en", "es", "fr", "pl")
+    rows = spark.createDataFrame([(0, FOREIGN[2], None, "h")], "doc_id long, text string, lang string, source string")
+    (r,) = langid.identify(langid.document_rows(rows), langid.fit(known, langid.labels(known)), is_html=False, languages=langid.labels(known)).collect()
+    assert (r.lang, r.kept) == ("pl", True)
+
+
 # op 8
 
 
