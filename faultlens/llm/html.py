@@ -21,8 +21,8 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose text is never the article's.
-ASIDE = frozenset("aside button canvas datalist dialog footer form head header iframe label menu nav noembed noframes noscript object script search select style svg template textarea title".split())
+#: Elements whose text is never the article's. A form is another, unless it holds the article or most of the text.
+ASIDE = frozenset("aside button canvas datalist dialog footer head header iframe label menu nav noembed noframes noscript object script search select style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 #: Words in a class or id that name such parts.
 HINTS = frozenset(
@@ -39,13 +39,13 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、؟।]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "hidden", "hint", "main", "path")
+    __slots__ = ("tag", "parent", "depth", "hidden", "form", "hint", "main", "path")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
-        self.hidden, self.hint, self.main = tag in ASIDE, None, tag in ("article", "main", "h1")
+        self.hidden, self.form, self.hint, self.main = tag in ASIDE, tag == "form", None, tag in ("article", "main", "h1")
         if attributes and attributes.strip(" /"):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             style = found.get("style", "").replace(" ", "").lower()
@@ -170,23 +170,52 @@ def blocks_of(page: str) -> list[Block]:
             while up:
                 if up.hint == "part":
                     up.hint = None
+                if tag != "h1":
+                    up.form = False
                 up = up.parent
     flush()
     return found
 
 
-def _set_aside(node: Element, memo: dict[int, bool]) -> bool:
+def _set_aside(node: Element, memo: dict[int, bool], forms: bool = True) -> bool:
     chain = []
     while node and id(node) not in memo:
         chain.append(node)
         node = node.parent
     state = memo[id(node)] if node else False
     for n in reversed(chain):
-        state = state or n.hidden or n.hint is not None
+        state = state or n.hidden or (forms and n.form) or n.hint is not None
         memo[id(n)] = state
     return state
 
 
+def _free_forms(blocks: list[Block]) -> None:
+    """A form with most of the text is the page's frame."""
+    within: dict[int, list] = {}
+    for b in blocks:
+        node = b.node
+        while node:
+            if node.form:
+                within.setdefault(id(node), [node, 0])[1] += len(b.text)
+            node = node.parent
+    total = sum(len(b.text) for b in blocks)
+    for node, size in within.values():
+        if 2 * size > total:
+            node.form = False
+
+
+def _common(nodes: list[Element]) -> Element:
+    """The deepest element that holds all of them."""
+    top = nodes[0]
+    for node in nodes[1:]:
+        while top is not node:
+            if top.depth >= node.depth:
+                top = top.parent
+            else:
+                node = node.parent
+    return top
+
+
 def path_scores(blocks: list[Block], spread: int = 2) -> dict[str, float]:
     """Per tag path: text per node times punctuation per node, each smoothed along the page, on a scale without units."""
     length: dict[str, float] = {}
@@ -226,7 +255,10 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     memo: dict[int, bool] = {}
-    blocks = [b for b in blocks_of(page) if not _set_aside(b.node, memo)]
+    blocks = [b for b in blocks_of(page) if not _set_aside(b.node, memo, forms=False)]
+    _free_forms(blocks)
+    memo = {}
+    blocks = [b for b in blocks if not _set_aside(b.node, memo)]
     if not blocks:
         return ""
     scores = path_scores(blocks)
@@ -245,10 +277,20 @@ def extract(page: str | None) -> str:
         return ""
     marked = [(n, size) for n, size in held.values() if n.main and n.tag != "h1"]
     root = max(marked, key=lambda x: (x[1], x[0].depth), default=(None, 0))
+    # articles side by side are parts of one text
+    ids = {id(n) for n, _ in marked}
+    apart = []
+    for n, size in marked:
+        up = n.parent
+        while up and id(up) not in ids:
+            up = up.parent
+        if up is None:
+            apart.append((n, size))
+    if len(apart) > 1:
+        root = _common([n for n, _ in apart]), sum(size for _, size in apart)
     if root[0] is None or root[1] < 0.25 * total:
         root = max(((n, s) for n, s in held.values() if s >= 0.9 * total), key=lambda x: x[0].depth)
     top = root[0]
-    # more articles side by side are parts of one text if a common parent holds nothing else
     out = []
     for b in blocks:
         node = b.node

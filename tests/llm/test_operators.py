@@ -329,6 +329,20 @@ def test_extract_edges(spark):
     assert sorted([tuple(r) for r in html.main_text(pages).collect()], key=str) == sorted([(1, None, "", 0), (None, "u", "x, y.", 5)], key=str)
 
 
+def test_extract_articles_side_by_side():
+    parts = [" ".join(f"Sentence {k} of part {p}, which goes on, and on." for k in range(n)) for p, n in enumerate((8, 6, 6))]
+    assert html.extract(PAGE % "".join(f"<article><p>{x}</p></article>" for x in parts)) == "\n".join(parts)
+
+
+@pytest.mark.parametrize("frame", ["<article>%s</article>", "<div><p>%s</p></div>"])
+def test_extract_page_in_a_form(frame):
+    text = " ".join(f"Sentence {k}, which goes on, and on." for k in range(9))
+    page = PAGE % (frame % text)
+    page = page.replace('<body class="has-sidebar">', '<body><form action="/">').replace("</body>", "</form></body>")
+    assert html.extract(page) == text
+    assert html.extract("<form><h1>Join</h1><p>Sign up, now.</p></form><form style='display:none'><article><p>x, y.</p></article></form><p>%s</p>" % text) == text
+
+
 def test_extract_recovers_planted_articles(spark, data):
     """Pages of the test tables wrap a text in p elements of an article."""
     import re
