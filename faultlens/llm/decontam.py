@@ -132,9 +132,9 @@ def windows(words: list[bytes], width: int) -> list[list[bytes]]:
     return [words[i : i + width] for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-def _search(items: list[tuple[int, str]], width: int):
+def _search(items: list[tuple[int | None, str]], width: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[tuple[bytes, ...], list[int]] = {}
+        wanted: dict[tuple[bytes, ...], list[int | None]] = {}
         for item, text in items:
             for w in windows(index_words(text), width):
                 wanted.setdefault(tuple(w), []).append(item)
@@ -142,7 +142,7 @@ def _search(items: list[tuple[int, str]], width: int):
             for row in batch.to_pylist():
                 seg = Segment(row)
                 spans: dict[int, list[int]] = {}
-                hits: dict[int, set[int]] = {}
+                hits: dict[int, set[int | None]] = {}
                 for w, owners in wanted.items():
                     at = seg.phrase(list(w))
                     if len(at):
@@ -150,7 +150,7 @@ def _search(items: list[tuple[int, str]], width: int):
                         for d, p in zip(docs.tolist(), (at - seg.starts[docs]).tolist(), strict=True):
                             spans.setdefault(d, []).extend((p, p + len(w)))
                             hits.setdefault(d, set()).update(owners)
-                out = [(row["segment"], d, i, n, spans.get(d, []), sorted(hits.get(d, ()))) for d, (i, n) in enumerate(zip(seg.doc_ids, seg.n_words, strict=True))]
+                out = [(row["segment"], d, i, n, spans.get(d, []), sorted(hits.get(d, ()), key=lambda x: (x is None, x or 0))) for d, (i, n) in enumerate(zip(seg.doc_ids, seg.n_words, strict=True))]
                 kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in FOUND.split(", ")])
 
@@ -160,7 +160,7 @@ def _search(items: list[tuple[int, str]], width: int):
 def _verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge a document's spans and count the words inside."""
     for batch in batches:
-        n_hit, n_items, sha, merged = [], [], [], []
+        n_hit, n_items, sha, merged, listed = [], [], [], [], []
         for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
             got: list[list[int]] = []
             for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
@@ -168,14 +168,15 @@ def _verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     got[-1][1] = max(got[-1][1], b)
                 else:
                     got.append([a, b])
-            ids = sorted({str(x) for x in items})
+            ids = sorted({str(x) for x in items if x is not None})
             merged.append([x for s in got for x in s])
             n_hit.append(sum(b - a for a, b in got))
-            n_items.append(len(ids))
+            n_items.append(len(set(items)))
+            listed.append([x for x in items if x is not None])
             sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
         n_words = batch.column("n_words")
         bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.to_pylist(), strict=True)]
-        cols = [batch.column("doc_id"), n_words, pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), pa.array(merged, pa.list_(pa.int32())), batch.column("items")]
+        cols = [batch.column("doc_id"), n_words, pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), pa.array(merged, pa.list_(pa.int32())), pa.array(listed, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
 
 
@@ -192,14 +193,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, index:
 
     The benchmark is the query set. It is sent to the tasks in passes of at most PASS_BYTES of text,
     so that its size is bounded whatever it holds; the hits of several passes are merged by document.
-    Null texts have no words; null item ids are left out of the items; rows that repeat a doc_id are
+    Null texts have no words; items without an id are searched for and together count as one item, but
+    are not listed or hashed; rows that repeat a doc_id are
     judged each on its own; an empty benchmark matches nothing; other columns are ignored.
     """
     index = build_index(docs) if index is None else index
-    passes: list[list[tuple[int, str]]] = [[]]
+    passes: list[list[tuple[int | None, str]]] = [[]]
     size = 0
     # the query set, read through the driver pass by pass; documents never are
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null and item_id is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").toLocalIterator():
         if size + len(r.text) > PASS_BYTES and passes[-1]:
             passes.append([])
             size = 0

@@ -583,6 +583,28 @@ def test_decontamination(spark, monkeypatch, one_pass):
     assert got == decontam_brute(docs, items)
 
 
+@pytest.mark.parametrize("one_pass", [True, False])
+def test_decontamination_by_items_without_an_id(spark, monkeypatch, tmp_path, one_pass):
+    import duckdb
+    from compare import rows_of, rows_sql
+
+    from faultlens.llm import queries
+
+    if not one_pass:
+        monkeypatch.setattr(decontam, "PASS_BYTES", 20)
+    docs, items = planted(random.Random(9))
+    bench = [(i, t) for i, t in items.items() if i != 1] + [(None, items[1]), (None, "no id here")]
+    docs[20] = "there is no id here"
+    spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries.QUERIES["op10_decontamination"](spark, str(tmp_path))
+    assert rows_of(got) == rows_sql(con, queries.ORACLE_SQL["op10_decontamination"])
+    assert {r.doc_id for r in got.filter("contaminated").collect()} >= {2, 20}
+
+
 def test_decontamination_edges(spark):
     kind = "doc_id long, text string"
     bench = spark.createDataFrame([], "item_id long, text string")
