@@ -69,6 +69,15 @@ def logistic_score(df: DataFrame, coefficients: Sequence[float], intercept: floa
     return df.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
 
 
+def balanced_epoch_order(y: np.ndarray, seed: int) -> np.ndarray:
+    """Row numbers of an epoch, shuffled: all rows, and rows of the rarer class drawn with replacement until both match."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    one, zero = np.flatnonzero(y == 1), np.flatnonzero(y != 1)
+    rare, lacking = (one, len(zero) - len(one)) if len(one) < len(zero) else (zero, len(one) - len(zero))
+    more = rng.choice(rare, lacking) if len(rare) and lacking else rare[:0]
+    return rng.permutation(np.concatenate([one, zero, more]))
+
+
 class Perceptron:
     """ReLU layers with a logistic output, trained by Adam on balanced mini-batches."""
 
@@ -94,8 +103,8 @@ class Perceptron:
         v = [np.zeros_like(p) for p in m]
         step = 0
         for epoch in range(epochs):
-            order = np.random.Generator(np.random.PCG64(self.seed + epoch)).permutation(len(x))
-            for lo in range(0, len(x), batch):
+            order = balanced_epoch_order(y, self.seed + epoch)
+            for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
                 layers = self.forward(x[at])
                 delta = (layers[-1] - y[at, None]) / len(at)

@@ -45,12 +45,16 @@ def logistic_fit(spark, d):
     return model.transform(vector.transform(f)).select("doc_id", "target", F.col("prediction").cast("int").alias("prediction"))
 
 
+#: Rows the perceptron is fitted on, at most: those of least digest. The fit runs on the driver.
+FIT_ROWS = 20_000
+
+
 @query()
-def perceptron_fit(spark, d):
+def perceptron_fit(spark, d, fit_rows=FIT_ROWS):
     import numpy as np
 
     f = features(spark, d)
-    sample = f.orderBy(F.xxhash64("doc_id")).limit(20_000).select("target", "score", "log_score", "is_en", "toxic").toPandas()  # a bounded sample to fit on
+    sample = f.orderBy(F.xxhash64("doc_id")).limit(fit_rows).select("target", "score", "log_score", "is_en", "toxic").toPandas()
     model = models.Perceptron([4, 16, 8, 1], seed=7).fit(sample[["score", "log_score", "is_en", "toxic"]].to_numpy(), sample["target"].to_numpy(np.float64), epochs=8, batch=256, rate=0.01)
     out = f.select("doc_id", "target", F.array("score", "log_score", "is_en", "toxic").alias("x"))
     return models.score_batches(out, "x", model).select("doc_id", "target", "score")

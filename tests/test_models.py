@@ -78,3 +78,22 @@ def test_logistic_separates(spark):
     df = spark.createDataFrame([(float(a), float(rng.normal()), int(a > 0)) for a in x], "a double, b double, y int")
     model, vector = models.fit_logistic(df, ["a", "b"], "y", penalty=1e-5)
     assert model.transform(vector.transform(df)).filter("prediction = y").count() > 290
+
+
+def test_balanced_epochs():
+    y = np.array([1.0] * 30 + [0.0] * 970)
+    order = models.balanced_epoch_order(y, 5)
+    assert set(range(1000)) <= set(order.tolist()) and len(order) == 1940 and y[order].sum() == 970
+    assert abs(y[order[:200]].mean() - 0.5) < 0.15  # shuffled
+    assert sorted(models.balanced_epoch_order(np.zeros(4), 0)) == [0, 1, 2, 3]
+    x = np.random.default_rng(1).normal(size=(1000, 2)) + y[:, None] * 1.5
+    p = models.Perceptron([2, 16, 1], seed=3).fit(x, y, epochs=20, batch=128, rate=0.01).predict(x)
+    assert (p[y == 1] > 0.5).mean() > 0.7  # a fit on rows as they are predicts hardly any
+
+
+def test_perceptron_fit_takes_its_bound(spark, data):
+    from faultlens.plans import models as plans
+
+    few, all_ = (plans.perceptron_fit(spark, data, *n) for n in ((20,), ()))
+    assert few.count() == all_.count()
+    assert few.agg({"score": "sum"}).first()[0] != all_.agg({"score": "sum"}).first()[0]
