@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultlens.operators.rows import diagnosis_status
+from faultlens.sources.tables import stored
 
 
 def profiles(observations: DataFrame, instance: str, slot: str, token: Column) -> DataFrame:
@@ -55,18 +56,23 @@ def catalogue(by_instance: DataFrame, instance: str) -> tuple[DataFrame, DataFra
     before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("profile_sha256", "profile"))
     ids = distinct.withColumn("place", place).join(before, "range").select((F.col("place") - 1 + F.col("off")).alias("profile_id"), "profile_sha256", F.col("profile").alias("response"))
-    faults = by_instance.join(ids, by_instance["profile"] == ids["response"]).select(instance, "profile_id")
+    ids = stored(ids, "profiles")
+    q = by_instance.select(instance, "profile", F.sha2("profile", 256).alias("_sha"))
+    faults = q.join(ids, (F.col("_sha") == F.col("profile_sha256")) & (F.col("profile") == F.col("response"))).select(instance, "profile_id")
     return ids, faults
 
 
 def lookup(observed: DataFrame, ids: DataFrame, faults: DataFrame, case: str, instance: str, site: Column) -> DataFrame:
-    """Per case: the faults of the one profile with equal digest and equal bytes, and their distinct sites."""
-    q = observed.select(case, "profile", F.sha2("profile", 256).alias("profile_sha256"))
-    hit = q.join(ids, (q["profile_sha256"] == ids["profile_sha256"]) & (q["profile"] == ids["response"]), "left").select(case, "profile_id")
-    met = hit.join(faults, "profile_id", "left").withColumn("_site", F.when(F.col(instance).isNotNull(), site))
-    # sites first, so that a case whose profile many faults share is summed in parts
-    per = met.groupBy(case, "_site").agg(F.count(instance).alias("n"))
-    return per.groupBy(case).agg(F.sum("n").alias("n_members"), F.array_sort(F.collect_list("_site")).alias("candidate_sites"))
+    """Per case: the faults of the one profile with equal digest and equal bytes, and their distinct sites.
+
+    Members and sites are summed per profile, sites first, before any case meets them.
+    """
+    per = faults.groupBy("profile_id", site.alias("_site")).agg(F.count(instance).alias("n"))
+    known = per.groupBy("profile_id").agg(F.sum("n").alias("n_members"), F.array_sort(F.collect_list("_site")).alias("candidate_sites"))
+    q = observed.select(case, "profile", F.sha2("profile", 256).alias("_sha"))
+    hit = q.join(ids, (F.col("_sha") == F.col("profile_sha256")) & (q["profile"] == ids["response"]), "left").select(case, "profile_id")
+    out = hit.join(known, "profile_id", "left")
+    return out.select(case, F.coalesce("n_members", F.lit(0)).cast("long").alias("n_members"), F.coalesce("candidate_sites", F.array().cast(known.schema["candidate_sites"].dataType)).alias("candidate_sites"))
 
 
 def deviations(observed: DataFrame, golden: DataFrame, slot: str) -> DataFrame:
@@ -75,7 +81,7 @@ def deviations(observed: DataFrame, golden: DataFrame, slot: str) -> DataFrame:
     observed and golden: slot, timed_out, cycles, digest. A timeout hides the digest; latency counts apart.
     """
     g = golden.select(slot, F.col("cycles").alias("_cycles"), F.col("digest").alias("_digest"))
-    met = observed.join(F.broadcast(g), slot)
+    met = observed.join(g, slot)
     first = F.when(F.col("timed_out") == 1, F.lit("TIMEOUT")).when(~F.col("digest").eqNullSafe(F.col("_digest")), F.lit("DIGEST_MISMATCH"))
     late = F.when(F.col("cycles") != F.col("_cycles"), F.lit("LATENCY_MISMATCH"))
     return met.withColumn("reasons", F.array_compact(F.array(first, late))).filter(F.size("reasons") > 0).drop("_cycles", "_digest")
@@ -96,11 +102,16 @@ def self_check(found: DataFrame, truth: DataFrame, case: str, site: str) -> Data
 
 
 def stratified(population: DataFrame, category: str, key: str, sizes: dict[str, int], seed: str) -> DataFrame:
-    """Per category, the first `sizes[category]` members by sha256(seed|key): a sample without replacement."""
-    limit = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    hashed = population.filter(F.col(category).isin(*sizes)).withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256))
-    r = F.row_number().over(Window.partitionBy(category).orderBy("_h", key))
-    return hashed.withColumn("_r", r).filter(F.col("_r") <= limit[F.col(category)]).drop("_h", "_r")
+    """Per category, the first `sizes[category]` members by sha256(seed|key): a sample without replacement.
+
+    A category at a time, so that only the best of each part meet.
+    """
+    hashed = population.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256))
+    out = None
+    for value, size in sizes.items():
+        part = hashed.filter(F.col(category) == value).orderBy("_h", key).limit(size)
+        out = part if out is None else out.unionByName(part)
+    return out.drop("_h")
 
 
 def score_blinded(truth: DataFrame, predictions: DataFrame, case: str = "case_id") -> DataFrame:
@@ -131,7 +142,7 @@ def intake_errors(observations: DataFrame, suite: DataFrame, steps: int) -> Data
     from faultlens.operators.rows import violations
 
     o = observations.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("vector_slot")))
-    met = o.join(F.broadcast(suite.select("vector_slot", F.col("vector_id").alias("_id"))), "vector_slot", "left")
+    met = o.join(suite.select("vector_slot", F.col("vector_id").alias("_id")), "vector_slot", "left")
     out = F.col("timed_out")
     rules: dict[str, Column] = {
         "known_slot": F.col("_id").isNotNull(),

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 from pyspark.sql.window import Window
 
 from faultlens.functions.scalar import edge_role
+from faultlens.operators.components import components
 from faultlens.sources.tables import stored
 
 ROLES = ("DATA", "SELECT", "ENABLE", "CLOCK", "RESET", "OTHER")
@@ -58,7 +61,9 @@ def adjacency(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
     entries = edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.col("multiplicity").cast("double").alias("w"))
     loops = nodes.select("node", F.col("node").alias("other"), F.lit(1.0).alias("w"))
     summed = entries.unionByName(loops).groupBy("node", "other").agg(F.sum("w").alias("w"))
-    return summed.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("node"))).select("node", "other", "weight")
+    # a node's total is summed in parts, so that a hub is no long task
+    total = entries.unionByName(loops).groupBy(F.col("node").alias("_node")).agg(F.sum("w").alias("_all"))
+    return summed.join(total, F.col("node") == F.col("_node")).select("node", "other", (F.col("w") / F.col("_all")).alias("weight"))
 
 
 def propagate(weights: DataFrame, state: DataFrame, columns: Sequence[str], hops: int) -> list[DataFrame]:
@@ -88,7 +93,8 @@ def graph_features(edges: DataFrame, nodes: DataFrame, base: DataFrame, columns:
     out = base.select("node", F.array(*columns).alias("h0"))
     part = 0
     for direction in ("inbound", "outbound"):
-        for state in propagate(adjacency(edges, nodes, direction), base, columns, hops):
+        # stored: each hop reads the weights, which come from all branches
+        for state in propagate(stored(adjacency(edges, nodes, direction), "weights"), base, columns, hops):
             part += 1
             out = out.join(state.select("node", F.array(*columns).alias(f"h{part}")), "node")
     return out.select("node", F.concat(*[F.col(f"h{k}") for k in range(part + 1)]).alias("features"))
@@ -106,8 +112,14 @@ def scaled(features: DataFrame, fit_on: DataFrame, width: int) -> DataFrame:
 def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the least node reachable when directions are ignored.
 
-    Labels fall by neighbour minimum and by pointer jumping in turn; each round is stored.
+    Whole numbers go the way of components(). Labels of other nodes fall by neighbour minimum and by
+    pointer jumping in turn; each round is stored.
     """
+    if isinstance(edges.schema["src"].dataType, (IntegerType, LongType)):
+        links = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+        found = components(links).withColumnRenamed("component", "_least")
+        every = nodes.select("node").distinct()
+        return every.join(found, every["node"] == found["u"], "left").select("node", F.coalesce("_least", "node").cast(nodes.schema["node"].dataType).alias("component"))
     both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "edges")
     label = stored(nodes.select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
@@ -121,12 +133,59 @@ def weak_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Arcs that one task may finish: a checked bound, some tens of MB.
+LOCAL_ARCS = 500_000
+
+
+def _strong(frames):
+    """Over all arcs left: (node, component), by depth-first search with an explicit stack."""
+    import pandas as pd
+
+    held = [f for f in frames if len(f)]
+    if not held:
+        return
+    arcs = pd.concat(held)
+    nodes, flat = np.unique(np.concatenate([arcs["src"], arcs["dst"]]), return_inverse=True)
+    src, dst = flat[: len(arcs)], flat[len(arcs) :]
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(nodes) + 1)).tolist()
+    number, low, label = [-1] * len(nodes), [0] * len(nodes), [-1] * len(nodes)
+    open_: list[int] = []
+    seen = 0
+    for root in range(len(nodes)):
+        if number[root] >= 0:
+            continue
+        path = [(root, first[root])]
+        while path:
+            v, at = path.pop()
+            if number[v] < 0:
+                number[v] = low[v] = seen
+                seen += 1
+                open_.append(v)
+            elif at > first[v] and label[w := to[at - 1]] < 0:
+                low[v] = min(low[v], low[w])
+            while at < first[v + 1] and number[to[at]] >= 0:
+                if label[to[at]] < 0:
+                    low[v] = min(low[v], low[to[at]])
+                at += 1
+            if at < first[v + 1]:
+                path += [(v, at + 1), (to[at], first[to[at]])]
+            elif low[v] == number[v]:
+                members = [open_.pop()]
+                while members[-1] != v:
+                    members.append(open_.pop())
+                for m in members:
+                    label[m] = max(members)
+    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(node, component): nodes that reach each other, named by their largest node.
 
-    Forward colouring: the largest ancestor spreads along edges until nothing changes; from each
-    root, its colour's nodes that reach it backwards are its component; they leave, and the rest
-    goes on. Nodes without an edge in or out are alone at once.
+    Nodes without an edge in or out are alone and leave. Once local_arcs or fewer are left, one task ends
+    the work. Until then, forward colouring: the largest ancestor spreads along edges until nothing
+    changes; from each root, its colour's nodes that reach it backwards are its component; they leave, and
+    the rest goes on. Its rounds grow with the longest path between the components left.
     """
     todo = stored(nodes.select("node").distinct(), "todo")
     arcs = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "arcs")
@@ -141,9 +200,13 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             if n == todo.count():
                 break
             todo = stored(todo.join(alone, "node", "left_anti"), "todo")
-            arcs = stored(inner, "arcs")
-            continue
         arcs = stored(inner, "arcs")
+        if arcs.limit(local_arcs + 1).count() <= local_arcs:
+            rest = stored(arcs.coalesce(1).mapInPandas(_strong, "node long, component long"), "scc")
+            done.append(todo.join(rest, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+            break
+        if n > 0:
+            continue
         colour = stored(todo.select("node", F.col("node").alias("c"), F.lit(True).alias("moved")), "colour")
         while colour.filter("moved").limit(1).count():
             came = arcs.join(colour.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("n"))

@@ -23,9 +23,10 @@ def star_vectors(facts: DataFrame, dims: Sequence[tuple[DataFrame, str, str]], l
 
 
 def z_scored(df: DataFrame, column: str, fit: Column, name: str) -> DataFrame:
-    """(x - mean) / population deviation, both from rows where fit holds."""
+    """(x - mean) / population deviation, both from rows where fit holds; a column constant there is an error, as it can't be scaled."""
     stats = df.filter(fit).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(name, F.when(F.col("_s") > 0, (F.col(column) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
+    scale = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.raise_error(F.lit(f"{column} is constant where the scaler is fitted")))
+    return df.crossJoin(F.broadcast(stats)).withColumn(name, (F.col(column) - F.col("_m")) / scale).drop("_m", "_s")
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

@@ -11,10 +11,29 @@ from faultlens.functions.scalar import hamming
 
 #: Cycles after which a run counts as timed out, and the cycles of a run without a fault.
 TIMEOUT_CYCLES, BASELINE_CYCLES = 2000, 343
-#: Columns that exist only after simulation, which features may not hold.
+# The columns that exist only after simulation, which features may not hold.
 AFTER_SIMULATION = frozenset(
-    "cycles baseline_cycles latency_delta timed_out activity detected unknown digest_hamming_distance expected_digest actual_digest run_type fault_enable site_selection target_detected".split()
+    {
+        "target",
+        "target_detected",
+        "detected",
+        "activity",
+        "cycles",
+        "baseline_cycles",
+        "latency_delta",
+        "timed_out",
+        "unknown",
+        "expected_digest",
+        "actual_digest",
+        "digest_hamming_distance",
+        "activated_vectors",
+        "detected_vectors",
+        "timeout_vectors",
+        "final_classification",
+    }
 )
+#: Columns of a campaign's set-up that are no features either.
+NOT_FEATURES = frozenset({"run_type", "fault_enable", "site_selection"})
 
 
 def latency_delta(cycles: Column, baseline: Column) -> Column:
@@ -64,7 +83,7 @@ def of_split(df: DataFrame, split: str, column: str = "vector_split") -> DataFra
     return df.filter(F.col(column) == split)
 
 
-def without_results(columns: Iterable[str], forbidden: Iterable[str] = AFTER_SIMULATION) -> list[str]:
+def without_results(columns: Iterable[str], forbidden: Iterable[str] = AFTER_SIMULATION | NOT_FEATURES) -> list[str]:
     """The columns, if none is known only after simulation; an error otherwise."""
     columns = list(columns)
     if bad := sorted(set(columns) & set(forbidden)):

@@ -53,43 +53,45 @@ def catalogue_profiles(spark, d):
     return ids.withColumn("profile_id", F.col("profile_id").cast("long"))
 
 
-CASES = "l_orderkey % 50 = 0"
-FOUND = f"(select q.l_orderkey as case_id, count(s.l_orderkey) as n_members, list_sort(list_distinct(list(s.site))) as candidate_sites from (select l_orderkey, case when l_orderkey % 100 = 0 then profile || 'X' else profile end as profile from {PROFILES} where {CASES}) q left join {SITED} s on s.profile = q.profile group by q.l_orderkey)"
+#: Every order is a case; one in a hundred shows a response that no profile has. Candidates are kept per profile, not per case.
+KNOWN = f"(select profile, count(*) as n_members, list_sort(list_distinct(list(site))) as candidate_sites from {SITED} group by profile)"
+SEEN = f"(select l_orderkey as case_id, case when l_orderkey % 100 = 0 then profile || 'X' else profile end as profile from {PROFILES})"
+FOUND = f"(select case_id, coalesce(n_members, 0) as n_members, candidate_sites from {SEEN} q left join {KNOWN} k on k.profile = q.profile)"
 
 
-def observed(spark, d, cases="l_orderkey % 50 = 0"):
-    p = by_order(spark, d).filter(cases)
-    return p.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_orderkey") % 100 == 0, F.concat("profile", F.lit("X"))).otherwise(F.col("profile")).alias("profile"))
+def observed(spark, d):
+    return by_order(spark, d).select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_orderkey") % 100 == 0, F.concat("profile", F.lit("X"))).otherwise(F.col("profile")).alias("profile"))
 
 
-def found(spark, d):
+def per_profile(spark, d, asked):
+    """Each distinct profile asked for, looked up once: cases of one profile times its members would grow as the square."""
     ids, faults = diagnosis.catalogue(by_order(spark, d), "l_orderkey")
-    return diagnosis.lookup(observed(spark, d), ids, faults, "case_id", "l_orderkey", site())
+    once = asked.select("profile", F.col("profile").alias("asked")).distinct()
+    return diagnosis.lookup(once, ids, faults, "asked", "l_orderkey", site())
 
 
 @query(f"select case_id, n_members, coalesce(len(candidate_sites), 0)::int as n_sites, coalesce(list_sum(candidate_sites), 0)::bigint as site_sum from {FOUND}")
 def catalogue_lookup(spark, d):
-    return found(spark, d).select("case_id", "n_members", F.size("candidate_sites").alias("n_sites"), F.aggregate("candidate_sites", F.lit(0).cast("long"), lambda a, x: a + x).alias("site_sum"))
-
-
-DEVIATING = "(select l_orderkey as case_id, l_linenumber as slot, case when l_tax > 0.07 then 1 else 0 end as timed_out, l_returnflag as digest, l_quantity::int as cycles from lineitem where l_orderkey % 50 = 0 and l_linenumber <= 4)"
+    seen = observed(spark, d)
+    hits = per_profile(spark, d, seen).select("asked", "n_members", F.size("candidate_sites").alias("n_sites"), F.aggregate("candidate_sites", F.lit(0).cast("long"), lambda a, x: a + x).alias("site_sum"))
+    return seen.join(hits, seen["profile"] == hits["asked"]).select("case_id", "n_members", "n_sites", "site_sum")
 
 
-def observations(spark, d, cases="l_orderkey % 50 = 0 and l_linenumber <= 4"):
-    return table(spark, d, "lineitem").filter(cases).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("slot"), (F.col("l_tax") > 0.07).cast("int").alias("timed_out"), F.col("l_returnflag").alias("digest"), F.col("l_quantity").cast("int").alias("cycles"))
+def observations(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("slot"), (F.col("l_tax") > 0.07).cast("int").alias("timed_out"), F.col("l_returnflag").alias("digest"), F.col("l_quantity").cast("int").alias("cycles"))
 
 
-def golden(spark):
-    return spark.range(1, 5).select(F.col("id").cast("int").alias("slot"), F.lit("N").alias("digest"), F.lit(25).alias("cycles"))
+REASONS = "(select *, case when timed_out = 1 then 'TIMEOUT' when digest <> 'N' then 'DIGEST_MISMATCH' else '' end || case when cycles <> 25 then '+LATENCY_MISMATCH' else '' end as r from (select l_orderkey as case_id, case when l_tax > 0.07 then 1 else 0 end as timed_out, l_returnflag as digest, l_quantity::int as cycles from lineitem))"
 
 
-REASONS = f"(select *, case when timed_out = 1 then 'TIMEOUT' when digest <> 'N' then 'DIGEST_MISMATCH' else '' end || case when cycles <> 25 then '+LATENCY_MISMATCH' else '' end as r from {DEVIATING})"
+def deviating(spark, d):
+    slots = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("slot")).distinct()
+    return diagnosis.deviations(observations(spark, d), slots.select("slot", F.lit("N").alias("digest"), F.lit(25).alias("cycles")), "slot")
 
 
 @query(f"select reasons, count(*) as n from (select trim(r, '+') as reasons from {REASONS} where r <> '') group by 1")
 def deviation_reasons(spark, d):
-    got = diagnosis.deviations(observations(spark, d), golden(spark), "slot")
-    return got.groupBy(F.array_join("reasons", "+").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+    return deviating(spark, d).groupBy(F.array_join("reasons", "+").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
@@ -98,52 +100,13 @@ select f.case_id, coalesce(n, 0) as n_deviating, n_members, coalesce(len(candida
 from {FOUND} f left join (select case_id, count(*) as n from {REASONS} where r <> '' group by 1) v on v.case_id = f.case_id
 """)
 def diagnose_observations(spark, d):
-    dev = diagnosis.deviations(observations(spark, d), golden(spark), "slot")
-    return diagnosis.diagnose(observed(spark, d), found(spark, d), dev, "case_id").drop("candidate_sites")
-
-
-@query(f"select count(*) as inconsistent from {FOUND} where case_id % 100 <> 0 and not list_contains(candidate_sites, case_id // 2)")
-def catalogue_self_check(spark, d):
-    truth = observed(spark, d).filter("case_id % 100 <> 0").select("case_id", F.floor(F.col("case_id") / 2).alias("site"))
-    return diagnosis.self_check(found(spark, d), truth, "case_id", "site").agg(F.count(F.lit(1)).alias("inconsistent"))
-
-
-# The queries above take the cases their SQL names; those below take every order and every slot.
-
-
-def per_profile(spark, d, asked):
-    """Each distinct profile asked for, looked up once: cases of one profile times its members would grow as the square."""
-    ids, faults = diagnosis.catalogue(by_order(spark, d), "l_orderkey")
-    once = asked.select("profile", F.col("profile").alias("asked")).distinct()
-    return diagnosis.lookup(once, ids, faults, "asked", "l_orderkey", site())
-
-
-@query()
-def catalogue_lookup_whole(spark, d):
-    seen = observed(spark, d, "true")
-    hits = per_profile(spark, d, seen).select("asked", "n_members", F.size("candidate_sites").alias("n_sites"), F.aggregate("candidate_sites", F.lit(0).cast("long"), lambda a, x: a + x).alias("site_sum"))
-    return seen.join(hits, seen["profile"] == hits["asked"]).select("case_id", "n_members", "n_sites", "site_sum")
-
-
-def deviating_whole(spark, d):
-    slots = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("slot")).distinct()
-    return diagnosis.deviations(observations(spark, d, "true"), slots.select("slot", F.lit("N").alias("digest"), F.lit(25).alias("cycles")), "slot")
-
-
-@query()
-def deviation_reasons_whole(spark, d):
-    return deviating_whole(spark, d).groupBy(F.array_join("reasons", "+").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def diagnose_observations_whole(spark, d):
-    n = deviating_whole(spark, d).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_deviating"))
-    out = catalogue_lookup_whole(spark, d).join(n, "case_id", "left").withColumn("n_deviating", F.coalesce("n_deviating", F.lit(0)))
+    n = deviating(spark, d).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_deviating"))
+    out = catalogue_lookup(spark, d).join(n, "case_id", "left").withColumn("n_deviating", F.coalesce("n_deviating", F.lit(0)))
     return out.select("case_id", "n_deviating", "n_members", "n_sites", diagnosis_status(F.col("n_deviating"), F.col("n_members"), F.col("n_sites")).alias("result"))
 
 
-@query()
-def catalogue_self_check_whole(spark, d):
+@query(f"select count(*) as inconsistent from {SITED} s join {KNOWN} k on k.profile = s.profile where not list_contains(candidate_sites, site)")
+def catalogue_self_check(spark, d):
     """Every stored profile, diagnosed as it stands: instances whose own site is not among the candidates."""
     stored = by_order(spark, d)
     truth = stored.select("l_orderkey", "profile", site().alias("site"))
@@ -161,7 +124,7 @@ def stratified_sample(spark, d):
 
 
 @query("""
-with t as (select o_orderkey as case_id, o_orderstatus <> 'O' as fault_present, o_custkey % 10 as site, ['UNIQUE', 'AMBIGUOUS', 'INVISIBLE'][(o_orderkey % 3)::int + 1] as cat, o_orderkey % 4 <> 0 as anomaly, case when o_orderkey % 5 = 0 then [o_custkey % 10] else [o_custkey % 10, 11] end as cand from orders where o_orderkey % 2 = 0)
+with t as (select o_orderkey as case_id, o_orderstatus <> 'O' as fault_present, o_custkey % 10 as site, ['UNIQUE', 'AMBIGUOUS', 'INVISIBLE'][(o_orderkey % 3)::int + 1] as cat, o_orderkey % 4 <> 0 as anomaly, case when o_orderkey % 5 = 0 then [o_custkey % 10] else [o_custkey % 10, 11] end as cand from orders)
 select 'false_alarms' as measure, count(*) filter (not fault_present and anomaly) as numerator, count(*) filter (not fault_present) as denominator from t
 union all select 'observable_detected', count(*) filter (fault_present and cat <> 'INVISIBLE' and anomaly), count(*) filter (fault_present and cat <> 'INVISIBLE') from t
 union all select 'all_detected', count(*) filter (fault_present and anomaly), count(*) filter (fault_present) from t
@@ -170,11 +133,6 @@ union all select 'exact_site_all', count(*) filter (fault_present and anomaly an
 union all select 'candidate_coverage', count(*) filter (fault_present and cat <> 'INVISIBLE'), count(*) filter (fault_present and cat <> 'INVISIBLE') from t
 """)
 def blinded_score(spark, d):
-    return blinded(table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == 0))
-
-
-@query()
-def blinded_score_whole(spark, d):
     return blinded(table(spark, d, "orders"))
 
 

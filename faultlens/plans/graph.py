@@ -101,19 +101,19 @@ def base_node_features(spark, d):
     return f.select("node", F.round("log1p_is_primary_output", 6).alias("log1p_is_primary_output"), F.round("log1p_cell_fanout", 6).alias("log1p_cell_fanout"), F.col("driver_type_FFT").alias("driver_type_fft"), F.col("site_category_COMB").alias("site_category_comb"))
 
 
-#: Customers as a sparse graph: an arc to a key a digest names, for two in three customers.
-ARCS = "(select c_custkey as src, 1 + ('0x' || substr(sha256('arc' || c_custkey::varchar), 1, 8))::bigint % (select max(c_custkey) from customer) as dst from customer where c_custkey % 3 <> 0)"
+#: Customers as a sparse graph: an arc to a key a digest names.
+ARCS = "(select c_custkey as src, 1 + ('0x' || substr(sha256('arc' || c_custkey::varchar), 1, 8))::bigint % (select max(c_custkey) from customer) as dst from customer)"
 
 
-def arcs(spark, d, customers="c_custkey % 3 <> 0"):
+def arcs(spark, d):
     c = table(spark, d, "customer")
     top = c.agg(F.max("c_custkey")).first()[0]
     k = F.col("c_custkey")
-    return c.filter(customers).select(k.alias("src"), (F.conv(F.substring(F.sha2(F.concat(F.lit("arc"), k.cast("string")), 256), 1, 8), 16, 10).cast("long") % top + 1).alias("dst"))
+    return c.select(k.alias("src"), (F.conv(F.substring(F.sha2(F.concat(F.lit("arc"), k.cast("string")), 256), 1, 8), 16, 10).cast("long") % top + 1).alias("dst"))
 
 
-def arc_nodes(spark, d, *customers):
-    a = arcs(spark, d, *customers)
+def arc_nodes(spark, d):
+    a = arcs(spark, d)
     return a.select(F.col("src").alias("node")).union(a.select(F.col("dst").alias("node"))).distinct()
 
 
@@ -142,21 +142,3 @@ select component, count(*) as size from (select node, min(hop) as component from
 """)
 def component_sizes(spark, d):
     return graph.component_sizes(weak_components(spark, d))
-
-
-# The queries above take the customers their SQL names; those below give every customer its arc.
-
-
-@query()
-def weak_components_whole(spark, d):
-    return graph.weak_components(arcs(spark, d, "true"), arc_nodes(spark, d, "true"))
-
-
-@query()
-def strong_components_whole(spark, d):
-    return graph.strong_components(arcs(spark, d, "true"), arc_nodes(spark, d, "true"))
-
-
-@query()
-def component_sizes_whole(spark, d):
-    return graph.component_sizes(weak_components_whole(spark, d))

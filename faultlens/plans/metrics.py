@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultlens.operators import metrics
+from faultlens.operators import metrics, ranks
 from faultlens.plans.registry import query
 from faultlens.sources.tables import table
 
@@ -129,21 +129,21 @@ def site_statistics(spark, d):
     return metrics.site_statistics(ordered(spark, d), "o_custkey", THRESHOLD).withColumn("squared_error", F.round("squared_error", 6))
 
 
-#: Replicates of the queries with SQL; the reference, and the queries without SQL, take REFERENCE_REPLICATES.
-REPLICATES, REFERENCE_REPLICATES = 50, 1000
+#: Replicates, as many as the reference takes.
+REPLICATES = 1000
 DRAWN = f"""
 st as (select source as site, row_number() over (order by source) - 1 as position, {COUNTS} from {SCORED} group by source),
 n as (select count(*) as n from st),
-dr as (select rep, position, count(*) as times from (select r as rep, ('0x' || substr(sha256('draws|' || r::varchar || '|' || k::varchar), 1, 12))::bigint % n.n as position from n, range({REPLICATES}) a(r), range(1000) b(k) where k < n.n) group by all),
+dr as (select rep, position, count(*) as times from (select r as rep, ('0x' || substr(sha256('draws|' || r::varchar || '|' || k::varchar), 1, 12))::bigint % n.n as position from n, (select r, unnest(range(n)) as k from n, range({REPLICATES}) a(r)) b) group by all),
 su as (select rep as replicate, sum(times * tn)::bigint as tn, sum(times * fp)::bigint as fp, sum(times * fn)::bigint as fn, sum(times * tp)::bigint as tp from dr join st on st.position = dr.position group by rep)
 """
 
 
-def bootstrapped(spark, d, replicates=REPLICATES):
+def bootstrapped(spark, d):
     st = metrics.site_statistics(scored(spark, d), "source", THRESHOLD)
-    sites = st.select("source").orderBy("source").collect()  # one row per source of the labelled sample
-    position = spark.createDataFrame([(r.source, i) for i, r in enumerate(sites)], "source string, position long")
-    return metrics.bootstrap(st, metrics.hashed_draws(position, "source", replicates, "draws", len(sites)), "source")
+    placed = ranks.positions(st.select("source"), [F.col("source").asc_nulls_last()], "position")
+    n = st.count()
+    return metrics.bootstrap(st, metrics.hashed_draws(placed, "source", REPLICATES, "draws", n), "source")
 
 
 @query(f"with {DRAWN} select replicate, round(mcc, 6) as mcc from {measured('su')}")
@@ -156,22 +156,11 @@ def bootstrap_interval(spark, d):
     return rounded(metrics.interval(bootstrapped(spark, d), "mcc"), ["ci_lower", "ci_upper"])
 
 
-@query()
-def bootstrap_replicates_whole(spark, d):
-    return rounded(bootstrapped(spark, d, REFERENCE_REPLICATES), ["mcc"])
-
-
-@query()
-def bootstrap_interval_whole(spark, d):
-    return rounded(metrics.interval(bootstrapped(spark, d, REFERENCE_REPLICATES), "mcc"), ["ci_lower", "ci_upper"])
-
-
 @query()
 def seeded_bootstrap(spark, d):
     st = metrics.site_statistics(scored(spark, d), "source", THRESHOLD)
-    sites = st.select("source").orderBy("source").collect()
-    position = spark.createDataFrame([(r.source, i) for i, r in enumerate(sites)], "source string, position long")
-    draws = metrics.seeded_draws(spark, len(sites), REFERENCE_REPLICATES, 20260909).join(position, "position").select("replicate", "source", "times")
+    position = ranks.positions(st.select("source"), [F.col("source").asc_nulls_last()], "position")
+    draws = metrics.seeded_draws(spark, position.count(), REPLICATES, 20260909).join(position, "position").select("replicate", "source", "times")
     return metrics.interval(metrics.bootstrap(st, draws, "source"), "mcc")
 
 

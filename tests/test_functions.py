@@ -79,3 +79,63 @@ def test_ratios(spark):
     assert one(spark, scalar.safe_ratio(F.lit(1), F.lit(0))) == 0.0
     assert one(spark, scalar.null_ratio(F.lit(1), F.lit(0))) is None
     assert one(spark, scalar.close(F.lit(1.0), F.lit(1.0 + 1e-14))) is True
+
+
+@pytest.mark.parametrize("name", "target target_detected detected activity cycles baseline_cycles latency_delta timed_out unknown expected_digest actual_digest digest_hamming_distance activated_vectors detected_vectors timeout_vectors final_classification run_type".split())
+def test_no_result_is_a_feature(name):
+    with pytest.raises(ValueError, match=name):
+        rows.without_results(["site", name, "vector"])
+
+
+SECRETS = {
+    "private_key": "-----BEGIN " + "RSA PRIVATE KEY-----",
+    "github_token": "github" + "_pat_" + "a1" * 12,
+    "openai_key": "s" + "k-" + "a1_-" * 6,
+    "hugging_face_token": "h" + "f_" + "Zz9" * 8,
+    "aws_access_key": "AK" + "IA" + "0AZ9" * 4,
+}
+
+
+def test_release_scan(spark):
+    from faultlens.operators import integrity
+
+    files = [(f"docs/{k}.md", 10, f"x {v} y") for k, v in SECRETS.items()] + [(".git/config", 5, ""), ("big.bin", (50 << 20) + 1, None), ("more.bin", 50 << 20, None), ("a/home.md", 3, "/ho" + "me/someone/x")]
+    got = {r.rule: r.broken for r in integrity.release_errors(spark.createDataFrame(files, "path string, size long, text string")).collect()}
+    assert got == {"blocked_path": 1, "file_too_large": 1, "home_path": 1, "release_too_large": 1, "empty": 0} | dict.fromkeys(SECRETS, 1)
+    clean = integrity.release_errors(spark.createDataFrame([("a.md", 3, "x")], "path string, size long, text string"))
+    assert not clean.filter("broken > 0").count()
+    assert [r.rule for r in integrity.release_errors(spark.createDataFrame([], "path string, size long, text string")).filter("broken > 0").collect()] == ["empty"]
+
+
+def test_strong_components_in_one_task_and_in_rounds(spark):
+    import random
+
+    from faultlens.operators import graph
+
+    rng = random.Random(3)
+    arcs = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] + [(100 + k, 100 + (k + 1) % 5) for k in range(5)] + [(7, 7)]
+    nodes = sorted({x for a in arcs for x in a} | {999})
+    to = {n: {b for a, b in arcs if a == n} for n in nodes}
+
+    def reach(n):
+        seen, todo = {n}, [n]
+        while todo:
+            for m in to[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    ahead = {n: reach(n) for n in nodes}
+    want = {n: max(m for m in ahead[n] if n in ahead[m]) for n in nodes}
+    e, v = spark.createDataFrame(arcs, "src long, dst long"), spark.createDataFrame([(n,) for n in nodes], "node long")
+    for local in (0, 30, graph.LOCAL_ARCS):
+        got = graph.strong_components(e, v, local).collect()
+        assert len(got) == len(nodes) and {r.node: r.component for r in got} == want
+
+
+def test_constant_column_is_not_scaled(spark):
+    from faultlens.operators import models
+
+    df = spark.createDataFrame([(1.0, 1), (1.0, 1), (2.0, 0)], "x double, fit int")
+    with pytest.raises(Exception, match="constant"):
+        models.z_scored(df, "x", F.col("fit") == 1, "z").collect()

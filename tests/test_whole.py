@@ -41,10 +41,10 @@ def test_every_order_is_a_case(spark, small):
         looked.append((k, len(members), len(sites), sum(sites)))
         result = "NO_OBSERVED_ANOMALY" if not late[k] else "NO_CATALOG_MATCH" if not members else "UNIQUE_SITE_IN_CATALOG" if len(sites) == 1 else "AMBIGUOUS_SITES_IN_CATALOG"
         said.append((k, len(late[k]), len(members), len(sites), result))
-    assert rows(spark, small, "catalogue_lookup_whole") == sorted(looked)
-    assert rows(spark, small, "diagnose_observations_whole") == sorted(said)
-    assert rows(spark, small, "deviation_reasons_whole") == sorted(Counter(x for v in late.values() for x in v).items())
-    assert rows(spark, small, "catalogue_self_check_whole") == [(0,)]
+    assert rows(spark, small, "catalogue_lookup") == sorted(looked)
+    assert rows(spark, small, "diagnose_observations") == sorted(said)
+    assert rows(spark, small, "deviation_reasons") == sorted(Counter(x for v in late.values() for x in v).items())
+    assert rows(spark, small, "catalogue_self_check") == [(0,)]
 
 
 def test_self_check_sees_every_profile(spark, small, monkeypatch):
@@ -52,12 +52,12 @@ def test_self_check_sees_every_profile(spark, small, monkeypatch):
 
     whole = diagnosis.lookup
     monkeypatch.setattr(diagnosis, "lookup", lambda *a: whole(*a).withColumn("candidate_sites", F.expr("filter(candidate_sites, x -> x <> 50)")))
-    assert rows(spark, small, "catalogue_self_check_whole") == [(2,)]  # orders 100 and 101
+    assert rows(spark, small, "catalogue_self_check") == [(2,)]  # orders 100 and 101
 
 
 def test_every_order_is_scored(spark, small):
     t = [(s != "O", k % 3, k % 4 != 0, k % 5 == 0) for k, _, s in ORDERS]
-    got = {m: (n, o) for m, n, o in rows(spark, small, "blinded_score_whole")}
+    got = {m: (n, o) for m, n, o in rows(spark, small, "blinded_score")}
     present = [x for x in t if x[0]]
     assert got["false_alarms"] == (sum(not f and a for f, _, a, _ in t), len(t) - len(present))
     assert got["all_detected"] == (sum(a for _, _, a, _ in present), len(present))
@@ -81,18 +81,16 @@ def test_every_customer_has_an_arc(spark, small):
     for _ in CUSTOMERS:
         for k, j in to.items():
             label[k] = label[j] = min(label[k], label[j])
-    assert rows(spark, small, "strong_components_whole") == strong
-    assert rows(spark, small, "weak_components_whole") == sorted(label.items())
-    assert rows(spark, small, "component_sizes_whole") == sorted(Counter(label.values()).items())
+    assert rows(spark, small, "strong_components") == strong
+    assert rows(spark, small, "weak_components") == sorted(label.items())
+    assert rows(spark, small, "component_sizes") == sorted(Counter(label.values()).items())
 
 
 def test_bootstraps_take_the_references_replicates(spark, data):
     import numpy as np
 
-    reps = rows(spark, data, "bootstrap_replicates_whole")
+    reps = rows(spark, data, "bootstrap_replicates")
     assert [r[0] for r in reps] == list(range(1000))
-    low, high, n = rows(spark, data, "bootstrap_interval_whole")[0]
+    low, high, n = rows(spark, data, "bootstrap_interval")[0]
     assert n == 1000 and np.allclose([low, high], np.percentile([m for _, m in reps], [2.5, 97.5]), atol=2e-6)
     assert [r[2] for r in rows(spark, data, "seeded_bootstrap")] == [1000]
-    fifty = rows(spark, data, "bootstrap_replicates")
-    assert [m for _, m in reps[:50]] == [m for _, m in fifty]
