@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +49,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing reads any more."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver see which finished steps are out of use: only then does Spark delete their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,6 +98,18 @@ def running(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return per.select("_part", *keys, "_first", F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), *[F.sum(f"_{v}").over(whole).alias(f"{v}_total") for v in values])
 
 
+def portions(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges (from, to) of rows whose values have at most that many bytes together, or are one row: bounds what a worker holds by size, not by rows."""
+    lo = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if total and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(column):
+        yield lo, len(column)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads each input bit over the whole word."""
     with np.errstate(over="ignore"):
@@ -92,7 +125,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit digests of words, kept for as many words as MOST."""
 
-    MOST = 1_000_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

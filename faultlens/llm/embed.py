@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import stored
-from faultlens.llm.components import components, forest
+from faultlens.operators.components import components, forest
 
 #: A pair at the threshold is missed by all tables with this probability at most.
 MISS = 1e-5

@@ -9,19 +9,22 @@ left apart, in blocks and exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import WordHashes, mixed, stored, words_of
-from faultlens.llm.components import components
+from faultlens.llm.common import WordHashes, mixed, portions, stored, words_of
+from faultlens.operators.components import components
 
-TREES, DEPTH = 20, 6
-#: Shortest shared prefix of a candidate pair. At Jaccard 0.85 all TREES orders miss a pair with probability (1 - 0.85**4)**20 = 5e-7.
-LEAST = 4
+#: Share of pairs at the threshold that no tree may bring together.
+MISS = 1e-6
+#: Least depth of a candidate region, at most; levels below it that crowded regions are parted by.
+LEAST, MORE = 4, 3
 #: Digests of a block of documents that the second round compares at once.
 BLOCK = 400_000
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
@@ -43,16 +46,34 @@ def shingles(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
     return np.unique(mixed(x))
 
 
-def _sign(width: int):
+class Shape(NamedTuple):
+    """Trees of a forest, MinHash values of an order, and the shortest shared prefix of a candidate pair."""
+
+    trees: int
+    depth: int
+    least: int
+
+    @classmethod
+    def of(cls, percent: int) -> Shape:
+        """The forest for a threshold: one with a Jaccard of s shares `least` values in a tree with probability s ** least, so that all trees miss it with (1 - s ** least) ** trees <= MISS."""
+        if not 40 <= percent <= 100:
+            raise ValueError("percent: from 40 to 100")
+        s = percent / 100
+        least = LEAST if s == 1 else min(LEAST, max(1, int(math.log(0.4) / math.log(s))))
+        return cls(1 if s == 1 else math.ceil(math.log(MISS) / math.log(1 - s**least)), least + MORE, least)
+
+
+def _sign(width: int, shape: Shape):
     rng = np.random.Generator(np.random.PCG64(20240229))
-    mul = (rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)).astype(np.uint32)
-    add = rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
+    values = shape.trees * shape.depth
+    mul = (rng.integers(0, 1 << 32, values, np.uint64) | np.uint64(1)).astype(np.uint32)
+    add = rng.integers(0, 1 << 32, values, np.uint64).astype(np.uint32)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in portions(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 sets = [shingles(words_of(t), hashes, width) for t in part.column(1).to_pylist()]
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
@@ -65,8 +86,8 @@ def _sign(width: int):
                         h1[full] = np.add.reduceat(mixed(flat + BASE), starts).view(np.int64)
                         h2[full] = np.bitwise_xor.reduceat(mixed(flat * BASE + np.uint64(1)), starts).view(np.int64)
                         x = (flat >> np.uint64(32)).astype(np.uint32)
-                        low = np.empty((len(full), TREES * DEPTH), ">u4")
-                        for k in range(TREES * DEPTH):
+                        low = np.empty((len(full), values), ">u4")
+                        for k in range(values):
                             low[:, k] = np.minimum.reduceat(x * mul[k] + add[k], starts)
                     for i, row in zip(full, low, strict=True):
                         sig[i] = row.tobytes()
@@ -75,15 +96,16 @@ def _sign(width: int):
     return sign
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+def signatures(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, set size, a 128-bit digest of the set (h1, h2) and the signature (null for an empty set)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(width), SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(width, Shape.of(percent)), SIGNATURE)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sweep(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     """Over sorted (tree, label, rep): pairs of neighbours and of members with the first of their regions, and the part's ends."""
     last: tuple | None = None
-    pivots: list[int] = [0] * (DEPTH + 1)
+    depth, least = shape.depth, shape.least
+    pivots: list[int] = [0] * (depth + 1)
     for batch in batches:
         a, b = [], []
         ends = [] if last else [(batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), batch.column(2)[0].as_py())]
@@ -92,14 +114,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = 0
             if last and last[0] == tree:
                 other = last[1]
-                while shared < DEPTH and label[4 * shared : 4 * shared + 4] == other[4 * shared : 4 * shared + 4]:
+                while shared < depth and label[4 * shared : 4 * shared + 4] == other[4 * shared : 4 * shared + 4]:
                     shared += 1
-            if shared >= LEAST:
-                for p in {last[2], *pivots[LEAST : shared + 1]}:
+            if shared >= least:
+                for p in {last[2], *pivots[least : shared + 1]}:
                     if p != rep:
                         a.append(p)
                         b.append(rep)
-            for d in range(shared + 1, DEPTH + 1):
+            for d in range(shared + 1, depth + 1):
                 pivots[d] = rep
             last = row
         n = len(a)
@@ -112,18 +134,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def forest_orders(classes: DataFrame) -> DataFrame:
+def forest_orders(classes: DataFrame, shape: Shape) -> DataFrame:
     """(tree, label, rep) for each tree of the forest."""
-    labels = F.array(*[F.expr(f"substring(sig, {1 + 4 * DEPTH * t}, {4 * DEPTH})") for t in range(TREES)])
+    labels = F.array(*[F.expr(f"substring(sig, {1 + 4 * shape.depth * t}, {4 * shape.depth})") for t in range(shape.trees)])
     return classes.select("rep", F.posexplode(labels).alias("tree", "label")).select("tree", "label", "rep")
 
 
-def first_candidates(classes: DataFrame) -> DataFrame:
+def first_candidates(classes: DataFrame, shape: Shape) -> DataFrame:
     """(a, b): neighbours with a shared prefix in some order, however the orders are cut into parts."""
-    order = forest_orders(classes)
-    swept = stored(order.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep").mapInArrow(_neighbours, "a long, b long, tree int, label binary"), "neighbours")
+    order = forest_orders(classes, shape)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sweep(batches, shape)
+
+    swept = stored(order.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep").mapInArrow(neighbours, "a long, b long, tree int, label binary"), "neighbours")
     # two rows for each part: where one order goes on in the next part
-    ends = swept.filter("tree is not null").select("tree", "label", F.col("a").alias("rep")).repartition(1).sortWithinPartitions("tree", "label", "rep").mapInArrow(_neighbours, "a long, b long, tree int, label binary")
+    ends = swept.filter("tree is not null").select("tree", "label", F.col("a").alias("rep")).repartition(1).sortWithinPartitions("tree", "label", "rep").mapInArrow(neighbours, "a long, b long, tree int, label binary")
     return _ordered(swept.filter("tree is null").unionByName(ends.filter("tree is null")).select("a", "b"))
 
 
@@ -148,10 +174,11 @@ def _confirm(percent: int):
         known = Joined()
         for batch in batches:
             u, v = [], []
-            for a, b, x, y in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or (ra := known.root(a)) == (rb := known.root(b)):
+            xs, ys = batch.column(2), batch.column(3)
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                p, q = np.frombuffer(xs[k].as_buffer(), np.uint64), np.frombuffer(ys[k].as_buffer(), np.uint64)
+                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)) or (ra := known.root(a)) == (rb := known.root(b)):
                     continue
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
                 both = int((q[at] == p).sum())
@@ -178,8 +205,8 @@ def _involved(pairs: DataFrame, width: int):
             at = batch.column(2).to_numpy(zero_copy_only=False)
             hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             found = batch.filter(pa.array(hit.astype(bool)))
-            for lo in range(0, found.num_rows, 500):
-                part = found.slice(lo, 500)
+            for lo, hi in portions(found.column(1)):
+                part = found.slice(lo, hi - lo)
                 full = [shingles(words_of(t), hashes, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in full], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], ["id", "n", "full"])
 
@@ -236,11 +263,12 @@ def _across(percent: int):
         u: list[int] = []
         v: list[int] = []
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:3] != key:
-                    block(held, known, u, v)
-                    key, held = row[:3], []
-                held.append(row[3:])
+            for lo, hi in portions(batch.column(batch.num_columns - 1), 8_000_000):
+                for row in zip(*[c.slice(lo, hi - lo).to_pylist() for c in batch.columns], strict=True):
+                    if row[:3] != key:
+                        block(held, known, u, v)
+                        key, held = row[:3], []
+                    held.append(row[3:])
         block(held, known, u, v)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -273,16 +301,17 @@ def second_links(sets: DataFrame, pairs: DataFrame, links: DataFrame, percent: i
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """Every document with its component of near copies.
 
-    docs: doc_id, text. Result, a row per row of docs: doc_id, n_shingles (set size),
-    component_id (smallest doc_id reachable over links, itself included), kept (doc_id = component_id).
+    docs: doc_id, text. percent: from 40 to 100; the forest's trees and depths follow from it. Result, a
+    row per row of docs: doc_id, n_shingles (set size), component_id (smallest doc_id reachable over links, itself included), kept (doc_id = component_id).
     Documents of one set are one node, whatever their number. Null or wordless texts have an empty
     set and link with nothing. Rows that repeat a doc_id are one node. A null doc_id takes its set's
     component and is never kept. An empty table gives no rows; other columns are ignored.
     """
-    signed = stored(signatures(docs, width), "signatures")
+    shape = Shape.of(percent)
+    signed = stored(signatures(docs, width, percent), "signatures")
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(sets.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    pairs = stored(first_candidates(classes), "pairs")
+    pairs = stored(first_candidates(classes, shape), "pairs")
     full = candidate_sets(docs, pairs, width)
     links = confirmed(full, pairs, percent)
     links = links.unionByName(second_links(full, pairs, links, percent))
