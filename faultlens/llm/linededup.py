@@ -1,4 +1,8 @@
-"""Line de-duplication by an exact set-similarity join, in DataFrame operations only."""
+"""Line de-duplication by an exact set-similarity join, in DataFrame operations only.
+
+Tokens are ordered by rarity, and lines meet by adjacent pairs of their rarest tokens: prefix
+filtering with keys of two tokens, where no single frequent token gathers lines that are unlike.
+"""
 
 from __future__ import annotations
 
@@ -6,57 +10,74 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from faultlens.llm.common import SPACE, ranged, running, stored
+from faultlens.llm.common import discard, ranged, release, running, stored
 
-#: Buckets of the token count table: its size is fixed, whatever the vocabulary.
-BUCKETS = 1 << 20
+#: The token count table has a bucket for each BUCKET_WORDS words, within these bounds, as a power of two. It goes to every task, one byte a bucket.
+BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 12, 1 << 21
 #: Bits of the filter that spares lines of no candidate pair the shuffle; false positives do no harm.
-FILTER_BITS = 1 << 22
-#: Rarest tokens of a line by which it meets a first line before the join.
-LEADING = 4
+FILTER_BITS = 1 << 23
 #: Jaccard threshold, as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
 #: Bits of 64 that an odd number of a line's words fall on, for half of the words each; a shift takes the low six bits of its count.
-PARITY = "aggregate(hs, 0L, (acc, h) -> if(h {} 0, acc ^ shiftleft(1L, cast(shiftrightunsigned(h, 33) as int)), acc))"
-BUCKET = f"cast(h & {BUCKETS - 1} as int)"
+PARITY = ", ".join(f"aggregate(hs, 0L, (acc, h) -> if(h & 64 = {64 * k}, acc ^ shiftleft(1L, h), acc)) as m{k}" for k in range(2))
+MAP = [f"m{k}" for k in range(2)]
+#: Bits of the parity map in a key row, and the largest number of words beside it.
+MAP_BITS = 52
+MAP_MASK, MOST_N = (1 << MAP_BITS) - 1, (1 << 63 - MAP_BITS) - 1
+#: Key rows of a task.
+KEY_ROWS = 250_000
+#: Bits of a code below the rarity level.
+CODE_BITS = 24
+ADDED = ("removed", "kept_text", "n_lines")
+
 
+def words(text: str) -> str:
+    """SQL of the words of a text without line feeds; splitting by a single space needs no regular expression."""
+    other = " or ".join(f"contains({text}, '{c}')" for c in (r"\t", r"\u000B", r"\f", r"\r"))
+    return rf"array_remove(split(if({other}, regexp_replace({text}, '[\\t\\x0B\\f\\r]', ' '), {text}), ' '), '')"
 
-#: What is kept of a code once the order is made: 31 bits. Two tokens of one value only add candidates.
-TOKEN = "cast(shiftrightunsigned(shiftleft(c, 32), 33) as int)"
 
+def token_lines(texts: DataFrame, bits: int) -> DataFrame:
+    """(rank, k1, k2, hs): every line with words, two digests of it, and a digest of each distinct word."""
+    # not by the size of hs: a filter below the projection would make all digests twice
+    worded = line_rows(texts, bits).filter(r"line rlike r'[^\x20\x09-\x0D]'")
+    return worded.select("rank", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), F.expr(f"transform(array_distinct({words('line')}), w -> hash(w))").alias("hs"))
 
-def _ceil(numerator: str, denominator: str) -> str:
-    return f"cast(({numerator} + {denominator} - 1) div ({denominator}) as int)"
 
+def token_levels(lines: DataFrame, buckets: int) -> DataFrame:
+    """One row: for each bucket of the words' digests how frequent its words are, as an array of bytes.
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """One row: how many words of all texts fall into each bucket of their digest (in the bits from 40 on), as an array of BUCKETS."""
-    words = docs.select(F.explode(F.split(F.lower("text"), SPACE)).alias("w")).select(F.expr("xxhash64(w)").alias("h"))
-    counts = words.select(F.expr(BUCKET).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    full = docs.sparkSession.range(0, BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    full = full.select(F.shiftright("b", 10).alias("hi"), "b", F.shiftleft(F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 22) - 1)).cast("long"), 40).alias("n"))
+    0 means in one line only; above, four levels to each doubling of the count over all lines.
+    """
+    counts = lines.select(F.explode("hs").alias("h")).select(F.expr(f"h & {buckets - 1}").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.coalesce("n", F.lit(0)) < 2, 0).otherwise(F.least(F.lit(127), F.floor(4 * F.log2("n"))))
+    full = lines.sparkSession.range(0, buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    full = full.select(F.shiftright("b", 10).alias("hi"), "b", level.cast("tinyint").alias("n"))
     rows = full.groupBy("hi").agg(F.expr("transform(array_sort(collect_list(struct(b, n))), x -> x.n)").alias("part"))
-    return rows.agg(F.expr("flatten(transform(array_sort(collect_list(struct(hi, part))), x -> x.part))").alias("counts"))
+    return rows.agg(F.expr("flatten(transform(array_sort(collect_list(struct(hi, part))), x -> x.part))").alias("levels"))
 
 
-def prefixed(firsts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds n (distinct words), tokens (the probing prefix, rarest first) and m1, m2 (a parity bit map of the words).
+def prefixed(lines: DataFrame, levels: DataFrame, buckets: int) -> DataFrame:
+    """(k1, k2, rank, n, tokens, m0, m1): distinct words, the rarest of them in order, and a parity bit map of all.
 
-    A token's code is its bucket's count before its digest: codes ascend with rarity, and any fixed
-    order of all tokens keeps prefix filtering exact. A token counted once stands in no other line: it
-    is null in the prefix, where it keeps its place.
+    A token's code is its level before bits of its digest: codes ascend with frequency, and any fixed
+    order of all tokens keeps prefix filtering exact, as does one code for two tokens.
+
+    Of two lines at the threshold, with n and m words, at least o = ceil(4/9 (n + m)) are shared and u =
+    n + m - 2 o are not. In the common order the u part the shared ones into u + 1 runs at most, and
+    o > u + 1, so two shared tokens follow each other directly, in both lines. Before the first such
+    pair each shared token is followed by one that isn't: the pair begins at place 2 (n - o) + (m - o)
+    at most, which is no more than 2/5 n. So the pairs of neighbours that begin by there are keys that any
+    two such lines have in common. A line of one word has that word twice.
     """
-    view = f"token_counts_{uuid.uuid4().hex}"
-    counts.createOrReplaceTempView(view)
-    hashes = f"array_remove(array_distinct(transform(split(line, r'{SPACE}'), w -> xxhash64(w))), xxhash64(''))"
-    # the explode of one element keeps the digests from being made once for each use
-    firsts.select("k1", "k2", "rank", F.expr(f"explode(array({hashes}))").alias("hs")).filter("size(hs) > 0").createOrReplaceTempView(view + "_lines")
-    # the scalar subquery brings the table to the tasks once, as a value of fixed size, and is read in place
-    coded = firsts.sparkSession.sql(f"select k1, k2, rank, {PARITY.format('<')} as m1, {PARITY.format('>=')} as m2, sort_array(transform(hs, h -> counts[{BUCKET}] | shiftrightunsigned(h, 24))) as codes from (select *, (select counts from {view}) as counts from {view}_lines)")
-    n = "size(codes)"
-    return coded.select("k1", "k2", "rank", F.expr(n).alias("n"), F.expr(f"transform(slice(codes, 1, {n} - {_ceil(f'{NUM} * {n}', str(DEN))} + 1), c -> if(shiftrightunsigned(c, 40) > 1, {TOKEN}, null))").alias("tokens"), "m1", "m2")
+    view = f"levels_{uuid.uuid4().hex}"
+    levels.createOrReplaceTempView(view)
+    lines.createOrReplaceTempView(view + "_lines")
+    # the scalar subquery brings the table to the tasks once, as a value of bounded size, and is read in place; a generator above it would copy it into each row
+    code = f"shiftleft(cast(levels[h & {buckets - 1}] as int), {CODE_BITS}) | shiftrightunsigned(h, {32 - CODE_BITS})"
+    coded = lines.sparkSession.sql(f"select k1, k2, rank, size(hs) as n, {PARITY}, sort_array(transform(hs, h -> {code})) as codes from (select *, (select levels from {view}) as levels from {view}_lines)")
+    return coded.select("k1", "k2", "rank", "n", *MAP, F.expr("if(n = 1, array(codes[0], codes[0]), slice(codes, 1, 2 * n div 5 + 2))").alias("tokens"))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -65,55 +86,67 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     _num is doc_id less the smallest one; if that leaves no room for line numbers in a long, it is the
     place of doc_id among all.
     """
-    lo, hi, most = docs.filter("doc_id is not null").agg(F.min("doc_id"), F.max("doc_id"), F.max(F.size(F.split("text", "\n")))).first()
-    bits = max(1, (most or 1).bit_length())
-    if lo is None or hi - lo < 1 << (61 - bits):
+    bits = 31
+    lo, hi = docs.filter("doc_id is not null").agg(F.min("doc_id"), F.max("doc_id")).first()
+    if lo is None or hi - lo < 1 << 32:
         return docs.withColumn("_num", F.expr(f"doc_id - {lo or 0}L").cast("long")), bits
+    bits = ((docs.agg(F.max(F.octet_length("text"))).first()[0] or 0) + 1).bit_length()
+    if hi - lo < 1 << (61 - bits):
+        return docs.withColumn("_num", F.expr(f"doc_id - {lo}L").cast("long")), bits
     ids = ranged(docs.filter("doc_id is not null").select("doc_id").distinct(), "doc_id")
     dense = ids.join(running(ids, [], []), "_part").select(F.col("doc_id").alias("_doc"), (F.col("_pos") - F.col("_first") + F.col("_before")).alias("_num"))
     return docs.join(dense, F.col("doc_id") == F.col("_doc"), "left").drop("_doc"), bits
 
 
-def _tests(a: str, b: str) -> tuple[str, ...]:
-    """n and i of rows a and b, and the tests that no pair at the threshold fails: length, position, bit map."""
-    n, i = (lambda x: f"shiftright(place{x}, 32)"), (lambda x: f"shiftright(place{x} & 4294967295, 1)")
-    total = f"({n(a)} + {n(b)})"
-    least = _ceil(f"{NUM} * {total}", str(NUM + DEN))
-    return n(a), n(b), i(a), i(b), f"{DEN} * least({n(a)}, {n(b)}) >= {NUM} * greatest({n(a)}, {n(b)}) and least({i(a)}, {i(b)}) + least({n(a)} - {i(a)}, {n(b)} - {i(b)}) >= {least} and bit_count(m1{a} ^ m1{b}) + bit_count(m2{a} ^ m2{b}) <= {total} - 2 * {least}"
+def _tests(a: str, b: str) -> str:
+    """The tests that no pair at the threshold fails: length and bit map."""
+    total = f"({a}.n + {b}.n)"
+    least = f"cast(({NUM} * {total} + {NUM + DEN - 1}) div {NUM + DEN} as int)"
+    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and {' + '.join(f'bit_count({a}.{m} ^ {b}.{m})' for m in MAP)} <= {total} - 2 * {least}"
+
 
+def keys_of(classes: DataFrame, *columns: str) -> DataFrame:
+    """(key, columns) for each key of each line; keys of a token counted once are in one line only and left out."""
+    pairs = classes.selectExpr(*columns, "inline(arrays_zip(slice(tokens, 1, size(tokens) - 1), slice(tokens, 2, size(tokens) - 1))) as (x, y)").filter(f"x >= {1 << CODE_BITS}")
+    return pairs.select(F.expr("shiftleft(cast(x as long), 32) | y").alias("key"), *columns)
 
-def token_rows(classes: DataFrame) -> DataFrame:
-    """(c, cls, m1, m2, place): a row per prefix token; place packs n, the token's position and `open`."""
-    rows = classes.select("cls", "n", "open", "m1", "m2", F.posexplode("tokens").alias("i", "c")).filter("c is not null")
-    return rows.select("c", "cls", "m1", "m2", F.expr("shiftleft(cast(n as long), 32) + shiftleft(i, 1) + open").alias("place"))
 
+def shared_keys(classes: DataFrame, tokens: int) -> DataFrame:
+    """(key): keys of two lines or more that may match.
 
-def leaders(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a line and the first line with one of its rarest tokens: at most one per token, however many lines share it."""
-    rows = token_rows(classes.withColumn("open", F.lit(0)).withColumn("tokens", F.slice("tokens", 1, LEADING)))
-    first = F.min(F.struct("cls", "place", "m1", "m2")).over(Window.partitionBy("c"))
-    led = rows.withColumn("x", first).select("cls", "place", "m1", "m2", F.col("x.cls").alias("cls_b"), F.col("x.place").alias("place_b"), F.col("x.m1").alias("m1_b"), F.col("x.m2").alias("m2_b"))
-    return led.filter("cls > cls_b and " + _tests("", "_b")[-1]).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
+    A row carries its line's number of words, up to MOST_N, above a parity map of all its words. Of a
+    key with just two rows, which most chance meetings are, both numbers and the maps' exclusive or come
+    out of the aggregation, and lines that can't match go. tokens: words of all lines, from which the
+    number of tasks follows.
+    """
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = f"(m0 ^ m1) & {MAP_MASK}L ^ shiftrightunsigned(m0 ^ m1, {MAP_BITS})"
+    rows = keys_of(classes.withColumn("w", F.expr(f"shiftleft(cast(least(n, {MOST_N}) as long), {MAP_BITS}) | ({folded})")), "w")
+    rows = rows.repartition(max(parts, 2 * tokens // (5 * KEY_ROWS)), "key")
+    n = F.expr(f"shiftrightunsigned(w, {MAP_BITS})")
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.expr(f"bit_xor(w & {MAP_MASK}L)").alias("d"))
+    alike = f"{DEN} * lo >= {NUM} * hi and bit_count(d) <= lo + hi - 2 * (({NUM} * (lo + hi) + {NUM + DEN - 1}) div {NUM + DEN})"
+    return per.filter(f"c > 2 or c = 2 and (hi = {MOST_N} or {alike})").select("key")
+
+
+def met(a: DataFrame, b: DataFrame, key: str, test: str) -> DataFrame:
+    """Rows of a that pass the test with a row of b of the same key: each at most once, whatever it meets."""
+    return a.alias("a").join(b.alias("b"), F.expr(f"a.{key} = b.{key} and {test}"), "left_semi")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a later, of an open line and any earlier one, by prefix tokens and all tests.
+def members(classes: DataFrame, tokens: int) -> DataFrame:
+    """(cls, head, n, m0, m1): a line that passes the tests with another of the same key, and a name of each group of such lines.
 
-    The longer line probes with its prefix; of the shorter one a shorter prefix is enough, since the
-    overlap asked for is at least 2t/(1+t) of its length.
+    A bit table of fixed size, of the keys that lines may share, spares most key rows the shuffle; then
+    each meets the others of its key until one passes. A group is named by its first line, so that the
+    many keys of one set of near copies are one group.
     """
-    rows = token_rows(classes)
-    a, b = (rows.select(*[F.col(c).alias(c + s) for c in rows.columns]) for s in ("_a", "_b"))
-    n_a, n_b, _, i_b, tests = _tests("_a", "_b")
-    conditions = [
-        f"({n_a} > {n_b} or ({n_a} = {n_b} and cls_a > cls_b))",
-        "if(cls_a > cls_b, place_a & 1, place_b & 1) = 1",
-        # a's length only keeps this test in the join, so that both sides read one exchange
-        f"if({n_a} > 0, {i_b} <= {n_b} - {_ceil(f'{2 * NUM} * {n_b}', str(NUM + DEN))}, false)",
-        tests,
-    ]
-    met = a.join(b.hint("shuffle_hash"), F.expr("c_a = c_b and " + " and ".join(conditions)))
-    return met.select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct()
+    bits = stored(bit_table(shared_keys(classes, tokens).select(F.xxhash64("key").alias("_key")), "_key"), "bits")
+    release(classes.sparkSession)
+    rows = with_bit(keys_of(classes, "cls", "n", *MAP).withColumn("_key", F.xxhash64("key")), bits, "_key").filter("_bit").select("key", "cls", "n", *MAP)
+    near = stored(met(rows, rows, "key", f"a.cls <> b.cls and {_tests('a', 'b')}"), "near")
+    heads = near.groupBy("key").agg(F.min("cls").alias("head"))
+    return near.join(heads, "key").select("cls", "head", "n", *MAP).distinct()
 
 
 def bit_table(keys: DataFrame, key: str) -> DataFrame:
@@ -131,60 +164,76 @@ def with_bit(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
     return rows.sparkSession.sql(f"select *, shiftrightunsigned((select bits from {view})[cast(shiftright({key} & {FILTER_BITS - 1}, 6) as int)], cast({key} & 63 as int)) & 1 = 1 as _bit from {view}_rows")
 
 
-def matched(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls): the later lines of those pairs whose word sets reach the threshold.
+def line_rows(texts: DataFrame, bits: int) -> DataFrame:
+    """(rank, line) of every line; rank ascends with the document's number, then the line's."""
+    split = texts.select("_num", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
+    return split.select((F.shiftleft("_num", bits) + F.col("no")).alias("rank"), "line")
+
+
+def matched(texts: DataFrame, classes: DataFrame, bits: int, tokens: int) -> DataFrame:
+    """(cls): the lines that reach the threshold with an earlier one.
 
-    lines: (rank, line). Only lines in a pair are needed; a bit table of fixed size drops most others
-    before they are shuffled.
+    Lines that pass the tests with none of their keys' lines go first, without their words. Words are
+    read again for the rest, whose documents a bit table of fixed size picks out, and the exact
+    similarity is a condition of the second join. Neither join puts out pairs.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rank")).distinct()
+    near = stored(members(classes, tokens), "members")
+    needed = near.select("cls").distinct()
+    owners = stored(bit_table(needed.select(F.shiftright("cls", bits).alias("_num")).distinct(), "_num"), "bits")
     # ranks are no digests: their low bits would crowd a few words of the table
     key = F.xxhash64("rank")
-    some = with_bit(lines.select("rank", "line", key.alias("_key")), stored(bit_table(needed.select(key.alias("_key")), "_key"), "bits"), "_key").filter("_bit").select("rank", "line")
-    first = some.join(needed, "rank").groupBy("rank").agg(F.min("line").alias("line"))
-    first = stored(first.select("rank", F.expr(f"array_distinct(array_remove(split(line, r'{SPACE}'), ''))").alias("words")), "lines")
-    side = lambda s: first.select(F.col("rank").alias(s), F.col("words").alias(f"words_{s}"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.expr("size(array_intersect(words_a, words_b))"))
-    return stored(met.filter(f"{DEN} * both >= {NUM} * (size(words_a) + size(words_b) - both)").select(F.col("a").alias("cls")).distinct(), "matched")
+    own = stored(bit_table(needed.select(F.xxhash64("cls").alias("_key")), "_key"), "bits")
+    lines = line_rows(with_bit(texts, owners, "_num").filter("_bit"), bits).withColumn("_key", key)
+    lines = with_bit(lines, own, "_key").filter("_bit").select("rank", "line").join(needed, F.col("rank") == F.col("cls"), "left_semi")
+    # rows that repeat a doc_id may repeat a rank
+    sets = lines.groupBy("rank").agg(F.min("line").alias("line")).select(F.col("rank").alias("cls"), F.expr(f"array_distinct({words('line')})").alias("words"))
+    full = stored(near.join(sets, "cls"), "sets")
+    same = f"{NUM + DEN} * size(array_intersect(a.words, b.words)) >= {NUM} * (a.n + b.n)"
+    discard(near, owners, own)
+    found = stored(met(full, full, "head", f"b.cls < a.cls and {_tests('a', 'b')} and {same}").select("cls").distinct(), "matched")
+    discard(full)
+    return found
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Every document without the lines that an earlier line matches.
 
     docs: doc_id, text, and any other columns, which are kept. Adds n_lines, removed (numbers of the
-    removed lines, from 0) and kept_text (the rest, joined by line feeds; null for a null text).
-    Lines are parted by line feeds; a line's tokens are its distinct lower-cased words; lines match
-    at Jaccard 0.8. A line is removed if a line that matches it stands earlier, by doc_id, then line
-    number, whether or not that one is removed itself. Lines without words stay. Texts with a null
-    doc_id have no rank and stay whole; rows that repeat a doc_id are one document given twice: each
-    keeps the lines that the document keeps. An empty table gives no rows.
+    removed lines, from 0) and kept_text (the rest, joined by line feeds; null for a null text);
+    columns of these names are replaced. Lines are parted by line feeds; a line's tokens are its
+    distinct lower-cased words; lines match at Jaccard 0.8. A line is removed if a line that matches
+    it stands earlier, by doc_id, then line number, whether or not that one is removed itself. Lines
+    without words stay. Texts with a null doc_id have no rank and stay whole; rows that repeat a
+    doc_id are one document given twice: each keeps the lines that the document keeps. An empty table
+    gives no rows.
 
     Equal lines are grouped first, so that a line's number of copies never meets in one task. Then
-    each line meets the first line of each of its prefix tokens, which settles the members of large
-    groups of near copies; only lines still open are joined with all earlier ones.
+    lines meet in groups of a common key (see prefixed, members), where joins keep each line at most once.
     """
-    names = docs.columns
-    docs, bits = numbered(docs)
-    low = docs.filter("_num is not null and text is not null").select("_num", F.col("text").cast("string").alias("text"))
-    split = low.select("_num", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
-    lines = split.select((F.shiftleft("_num", bits) + F.col("no")).alias("rank"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"))
-    counts = stored(token_counts(low), "counts")
-    classes = prefixed(lines, counts).groupBy("k1", "k2").agg(F.min("rank").alias("cls"), F.first(F.struct("n", "tokens", "m1", "m2")).alias("x")).select("cls", "x.*")
+    names = [c for c in docs.columns if c not in ADDED]
+    # no name of the caller's meets one of these functions'
+    held = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in names]).alias("_row"))
+    held, bits = numbered(held)
+    low = held.filter("_num is not null and text is not null").select("_num", "text")
+    lines = stored(token_lines(low, bits), "lines")
+    total = lines.agg(F.sum(F.size("hs"))).first()[0] or 0
+    buckets = min(max(1 << (total // BUCKET_WORDS).bit_length(), LEAST_BUCKETS), MOST_BUCKETS)
+    levels = stored(token_levels(lines, buckets), "levels")
+    classes = prefixed(lines, levels, buckets).groupBy("k1", "k2").agg(F.min("rank").alias("cls"), F.first(F.struct("n", "tokens", *MAP)).alias("x")).select("cls", "x.*")
     classes = stored(classes, "classes")
-    led = matched(lines, stored(leaders(classes), "pairs"))
-    flagged = classes.join(led.withColumn("_led", F.lit(1)), "cls", "left").withColumn("open", F.when(F.col("_led").isNull(), 1).otherwise(0))
-    rest = matched(lines, stored(candidates(flagged), "pairs"))
-    kept = classes.select("cls").join(led.union(rest), "cls", "left_anti")
-    owned = kept.groupBy(F.shiftright("cls", bits).alias("_own")).agg(F.collect_list(F.expr(f"cast(cls & {(1 << bits) - 1} as int)")).alias("_kept"))
-    owned = stored(owned, "owned")
+    had = stored(lines.groupBy(F.shiftright("rank", bits).alias("_num")).agg(F.count(F.lit(1)).alias("n")), "had")
+    discard(lines, levels)
+    kept = classes.select("cls").join(matched(low, classes, bits, total), "cls", "left_anti")
     # documents that own each of their lines stay as they are: only the others meet what they own
-    worded = low.select("_num", F.expr("size(filter(split(text, '\n'), l -> l rlike r'[^\x20\x09-\x0D]'))").alias("n"))
-    short = worded.join(owned.select("_own", F.size("_kept").alias("m")), F.col("_num") == F.col("_own"), "left").filter("n > coalesce(m, 0)").select("_num").distinct()
-    marked = with_bit(docs, stored(bit_table(short, "_num"), "bits"), "_num")
+    owned = stored(kept.groupBy(F.shiftright("cls", bits).alias("_own")).agg(F.collect_list(F.expr(f"cast(cls & {(1 << bits) - 1} as int)")).alias("_kept")), "owned")
+    discard(classes)
+    short = had.join(owned.select("_own", F.size("_kept").alias("m")), F.col("_num") == F.col("_own"), "left").filter("n > coalesce(m, 0)").select("_num")
+    marked = with_bit(held, stored(bit_table(short, "_num"), "bits"), "_num")
     inside = "_num is not null and text is not null and _bit"
-    whole = marked.filter(f"not coalesce({inside}, false)").select(*names, F.expr("cast(array() as array<int>)").alias("removed"))
+    whole = marked.filter(f"not coalesce({inside}, false)").select("_row", "text", F.expr("cast(array() as array<int>)").alias("removed"))
     part = marked.filter(inside).join(owned, F.col("_num") == F.col("_own"), "left").withColumn("_lines", F.split("text", "\n"))
     gone = "filter(sequence(0, size(_lines) - 1), i -> _lines[i] rlike r'[^\x20\x09-\x0D]' and not array_contains(coalesce(_kept, array()), i))"
-    out = whole.unionByName(part.select(*names, F.expr(f"explode(array({gone}))").alias("removed")))
+    out = whole.unionByName(part.select("_row", "text", F.expr(f"explode(array({gone}))").alias("removed")))
     rest_of = F.expr("concat_ws('\n', filter(split(text, '\n'), (l, i) -> not array_contains(removed, i)))")
-    return out.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(rest_of)).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    kept_text = F.when(F.size("removed") == 0, F.col("text")).otherwise(rest_of)
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], "removed", kept_text.alias("kept_text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
