@@ -94,12 +94,10 @@ def _evidence(model: np.ndarray, is_html: bool):
     return run
 
 
-def _softmax(df: DataFrame, values: str, n: int, name: str) -> DataFrame:
-    """df with name, the softmax of an array of n; each step is a column, so that none is made again for each entry."""
-    df = df.withColumn("_top", F.array_max(values))
-    df = df.withColumn("_e", F.array(*[F.exp(F.col(values)[i] - F.col("_top")) for i in range(n)]))
-    df = df.withColumn("_z", sum((F.col("_e")[i] for i in range(n)), F.lit(0.0)))
-    return df.withColumn(name, F.array(*[F.col("_e")[i] / F.col("_z") for i in range(n)])).drop("_top", "_e", "_z")
+def _softmax(values: str) -> Column:
+    """The softmax of a column that is stored: were it an expression, each entry would make it again."""
+    top = f"array_max({values})"
+    return F.expr(f"transform({values}, v -> exp(v - {top}) / aggregate({values}, 0D, (a, x) -> a + exp(x - {top})))")
 
 
 def identify(rows: DataFrame, model: np.ndarray, is_html: bool, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -120,7 +118,7 @@ def identify(rows: DataFrame, model: np.ndarray, is_html: bool, languages: tuple
     listed = "array(" + ", ".join(f"'{x}'" for x in (*languages, UNKNOWN)) + ")"
     known = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.lit("?"))
     seen = rows.select("id", "text", "declared", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix")).mapInArrow(_evidence(model, is_html), EVIDENCED)
-    seen = _softmax(seen.withColumn("declared", known).withColumn("texty", F.col("letters") >= LETTERS), "ll", n, "p")
+    seen = seen.withColumn("declared", known).withColumn("p", _softmax("ll")).withColumn("texty", F.col("letters") >= LETTERS)
     seen = stored(seen, "evidence")
     sums = [F.sum(F.when(F.col("texty"), F.col("p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(n)]
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
@@ -139,7 +137,8 @@ def identify(rows: DataFrame, model: np.ndarray, is_html: bool, languages: tuple
     own = lambda i: f"if(texty, p[{i}], 0D)"
     prior = lambda i: f"(greatest(s{i} - {own(i)}, 0D) + {HOST_PRIOR}D * u{i}) / ({total('s')} - if(texty, 1D, 0D) + {HOST_PRIOR}D)"
     met = met.withColumn("_said", F.expr(declared)).withColumn("fused", F.array(*[F.expr(f"ll[{i}] + ln(_said[{i}]) + ln({prior(i)})") for i in range(n)]))
-    met = _softmax(met, "fused", n, "q")
+    met = stored(met.select("id", "declared", "host", "texty", "p", "fused"), "fused")
+    met = stored(met.withColumn("q", _softmax("fused")), "posterior")
     best = lambda c: F.expr(f"if(texty, element_at({listed}, cast(array_position({c}, array_max({c})) as int)), '{UNKNOWN}')")
     confidence = F.when(F.col("texty"), F.array_max("q")).otherwise(0.0)
     return met.select("id", best("q").alias("lang"), confidence.alias("confidence"), best("p").alias("text_lang"), "declared", "host", (F.col("texty") & (confidence >= CONFIDENCE) & (best("q") != UNKNOWN)).alias("kept"))
