@@ -72,22 +72,7 @@ from p group by doc_id
 
 
 def op4_line_hashing(spark: SparkSession, d: str) -> DataFrame:
-    return substring.dedup_passages(table(spark, d, "documents"))
-
-
-OP4 = rf"""
-with u as (select doc_id, i, line, sum(length(line) + 1) over (partition by doc_id order by i) - length(line) - 1 as lo,
-           array_to_string(regexp_extract_all(translate(line, '{UPPER}', '{SMALL}'), '{SPLIT}'), ' ') as x, len(regexp_extract_all(line, '{SPLIT}')) as n
-           from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as line from documents where text is not null)),
-r as (select *, n >= {substring.MIN_WORDS} and row_number() over (partition by x order by doc_id, i) > 1 as gone from u),
-g as (select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text, count(*) as n_units, count(*) filter (gone) as n_removed, coalesce(sum(length(line)) filter (gone), 0)::bigint as removed_chars,
-      coalesce(flatten(list([lo, lo + length(line)]::bigint[] order by i) filter (gone)), []) as spans from r group by doc_id)
-select d.doc_id, g.text, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_chars, 0) as removed_chars, coalesce(spans, []) as spans from documents d left join g on g.doc_id = d.doc_id
-"""
-
-
-def op4_passages(spark: SparkSession, d: str) -> DataFrame:
-    return substring.dedup_windows(table(spark, d, "documents"), min_words=1)
+    return substring.dedup_windows(table(spark, d, "documents"))
 
 
 def op5_tag_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +139,6 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(nh.n, 0)::bigint as n_hit,
 from w left join nh on nh.doc_id = w.doc_id left join ni on ni.doc_id = w.doc_id
 """
 
-FUNCTIONS = (op1_mixing, op2_warc, op3_lm_scoring, op4_line_hashing, op4_passages, op5_tag_paths, op6_line_dedup, op7_language_id, op8_lsh_forest, op9_sign_hashing, op10_decontamination)
+FUNCTIONS = (op1_mixing, op2_warc, op3_lm_scoring, op4_line_hashing, op5_tag_paths, op6_line_dedup, op7_language_id, op8_lsh_forest, op9_sign_hashing, op10_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FUNCTIONS}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_warc": OP2, "op3_lm_scoring": OP3, "op4_line_hashing": OP4, "op8_lsh_forest": OP8, "op9_sign_hashing": OP9, "op10_decontamination": OP10}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_warc": OP2, "op3_lm_scoring": OP3, "op8_lsh_forest": OP8, "op9_sign_hashing": OP9, "op10_decontamination": OP10}

@@ -10,7 +10,7 @@ from brute import components, lowered, near_links, prose, shingles, words
 from pyspark.sql import functions as F
 
 from faultlens.llm import decontam, embed, html, langid, linededup, lm, minhash, mixing, substring, warc
-from faultlens.llm import components as cc
+from faultlens.operators import components as cc
 from faultlens.llm.common import words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,9 +29,10 @@ def test_words():
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 300) if i % 50] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
-    got = {r.u: r.component for r in cc.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()}
     want = components(sorted({x for e in links for x in e}), links)
-    assert {n: got.get(n, n) for n in want} == want
+    for local in (0, 100, cc.LOCAL_EDGES):
+        got = {r.u: r.component for r in cc.components(spark.createDataFrame(links, "u long, v long").repartition(7), local_edges=local).collect()}
+        assert {n: got.get(n, n) for n in want} == want
     assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -226,9 +227,10 @@ def test_passages(spark, corpus):
     shared = [prose(rng, 60) for _ in range(3)]
     extra = [(100 + i, f"{prose(rng, 5)}\n{shared[i % 3]}\n{prose(rng, 12)}\n{shared[i % 3].upper()}", "", "s", 0) for i in range(9)]
     docs = corpus.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, DOCS)).repartition(6)
-    want = passages_brute(texts_of(docs), 10)
-    got = {r.doc_id: (r.text, r.spans) for r in substring.dedup_passages(docs).collect()}
-    assert got == want
+    for least in (10, 1):
+        want = passages_brute(texts_of(docs), least)
+        got = {r.doc_id: (r.text, r.spans) for r in substring.dedup_passages(docs, min_words=least).collect()}
+        assert got == want
     original = texts_of(docs)
     for i, (text, spans) in got.items():
         if text is not None:
@@ -295,7 +297,7 @@ def test_passages_query_takes_short_lines(spark, tmp_path):
 
     rows = [(1, "Read more\nfirst text\n\n!", "", "", 0), (2, "read  MORE\nsecond text\n\nend", "", "", 0), (3, "end\nthird", "", "", 0)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.text, r.n_removed) for r in queries.QUERIES["op4_passages"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries.QUERIES["op4_line_hashing"](spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("second text\n\nend", 1), 3: ("third", 1)}
 
 
@@ -386,10 +388,13 @@ def test_lines(spark, corpus):
             rng.shuffle(w)
             lines.append("  ".join(w))
         rows.append((200 + i, "\n".join([*lines, "", lines[0]]), "", "s", 0))
-    docs = corpus.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, DOCS)).withColumn("removed_", F.lit(1)).withColumn("k2", F.lit(None).cast("string"))
+    docs = corpus.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, DOCS))
+    for clash in ("removed", "kept_text", "n_lines", "_own", "_lines", "_num", "_row", "k2", "cls", "rank"):
+        docs = docs.withColumn(clash, F.lit("x"))
     want = lines_brute(texts_of(docs))
     got = linededup.dedup_lines(docs).collect()
     assert {(r.doc_id, k) for r in got for k in r.removed} == want
+    assert all(r["_own"] == r["_lines"] == r["_num"] == r["_row"] == r["cls"] == "x" for r in got)
     for r in got:
         if r.text is None:
             assert r.kept_text is None and r.n_lines == 0
@@ -397,6 +402,25 @@ def test_lines(spark, corpus):
             assert r.kept_text == "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in r.removed)
 
 
+def test_lines_that_hardly_match(spark):
+    """Pairs right at the threshold, of every length, with the changed words among the rarest or the most frequent."""
+    rng = random.Random(11)
+    lines = []
+    for n in [*range(1, 31), 45, 90]:
+        for _ in range(4):
+            w = [f"v{rng.randrange(60)}" if rng.random() < 0.7 else f"r{rng.randrange(4000)}" for _ in range(n)]
+            lines.append(w)
+            for change in (n // 9, n // 9 + 1, n // 5):
+                v = list(w)
+                for k in rng.sample(range(n), min(change, n)):
+                    v[k] = f"r{rng.randrange(4000)}" if rng.random() < 0.5 else f"v{rng.randrange(60)}"
+                lines.append(v[: n - rng.randrange(0, 1 + n // 6)])
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(" ".join(w) for w in lines[i : i + 4]), "", "", 0) for i in range(0, len(lines), 4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {(r.doc_id, k) for r in linededup.dedup_lines(docs).collect() for k in r.removed} == lines_brute(texts_of(docs))
+
+
 def test_lines_edges(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c", "", "", 0), (1, "a b c", "", "", 0), (1, "a b c", "", "", 0), (2, "c b a\nz", "", "", 0), (3, None, "", "", 0)]
