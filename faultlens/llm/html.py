@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,12 +39,14 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、؟।]")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "hidden", "form", "hint", "main", "path")
+    __slots__ = ("tag", "parent", "depth", "hidden", "form", "hint", "main", "path", "paths")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str) -> None:
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        # a path is numbered by its parent's number and its last tag: its length costs nothing
+        self.paths = parent.paths if parent else {}
+        self.path = self.paths.setdefault((parent.path if parent else None, tag), len(self.paths))
         self.hidden, self.form, self.hint, self.main = tag in ASIDE, tag == "form", None, tag in ("article", "main", "h1")
         if attributes and attributes.strip(" /"):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -70,6 +72,7 @@ def blocks_of(page: str) -> list[Block]:
     root = Element("", None, "")
     node, parts, links, found = root, [], 0, []
     at, link_depth = 0, 0
+    opened: dict[str, int] = {}
     size = len(page)
 
     def flush() -> None:
@@ -109,13 +112,13 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
                 continue
-            other = node
-            while other.parent and other.tag != tag:
-                other = other.parent
-            if not other.parent:  # no such element is open
+            if not opened.get(tag):  # no such element is open
                 if tag in BLOCKS:
                     flush()
                 continue
+            other = node
+            while other.tag != tag:
+                other = other.parent
             crossed = node
             breaks = False
             while crossed is not other.parent:
@@ -125,6 +128,7 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             while node is not other.parent:
                 link_depth -= node.tag == "a"
+                opened[node.tag] -= 1
                 node = node.parent
             continue
         if tag in VOID:
@@ -147,6 +151,7 @@ def blocks_of(page: str) -> list[Block]:
                         up = up.parent
                         while node is not last.parent:
                             link_depth -= node.tag == "a"
+                            opened[node.tag] -= 1
                             node = node.parent
                         continue
                     up = up.parent
@@ -156,6 +161,7 @@ def blocks_of(page: str) -> list[Block]:
                 if up.tag == "p":  # a block ends an open paragraph, and the inline elements in it
                     while node is not up.parent:
                         link_depth -= node.tag == "a"
+                        opened[node.tag] -= 1
                         node = node.parent
         child = Element(tag, node, attributes)
         if child.hidden and tag not in BLOCKS:
@@ -164,6 +170,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         node = child
         link_depth += tag == "a"
+        opened[tag] = opened.get(tag, 0) + 1
         if child.main and not child.hint and not child.hidden:
             # what holds the article or its heading is no side part, whatever its class says
             up = child.parent
@@ -177,18 +184,27 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def _set_aside(node: Element, memo: dict[int, bool], forms: bool = True) -> bool:
+def _marked(node: Element | None, memo: dict[int, bool], mark: Callable[[Element], bool]) -> bool:
+    """Whether the node or an element it lies in has the mark."""
     chain = []
     while node and id(node) not in memo:
         chain.append(node)
         node = node.parent
     state = memo[id(node)] if node else False
     for n in reversed(chain):
-        state = state or n.hidden or (forms and n.form) or n.hint is not None
+        state = state or mark(n)
         memo[id(n)] = state
     return state
 
 
+def _hidden(node: Element, memo: dict[int, bool]) -> bool:
+    return _marked(node, memo, lambda n: n.hidden)
+
+
+def _set_aside(node: Element, memo: dict[int, bool]) -> bool:
+    return _marked(node, memo, lambda n: n.hidden or n.form or n.hint is not None)
+
+
 def _free_forms(blocks: list[Block]) -> None:
     """A form with most of the text is the page's frame."""
     within: dict[int, list] = {}
@@ -204,6 +220,26 @@ def _free_forms(blocks: list[Block]) -> None:
             node.form = False
 
 
+def _free_hints(blocks: list[Block]) -> None:
+    """An element that its class names as an aside, but outside of which the page has no sentence, is the article's wrapper."""
+    while True:
+        memo: dict[int, bool] = {}
+        if any(len(b.text) >= 20 and PUNCTUATION.search(b.text) for b in blocks if not _set_aside(b.node, memo)):
+            return
+        within: dict[int, list] = {}
+        for b in blocks:
+            top, node = None, b.node
+            while node:
+                if node.hint:
+                    top = node
+                node = node.parent
+            if top:
+                within.setdefault(id(top), [top, 0])[1] += len(b.text)
+        if not within:
+            return
+        max(within.values(), key=lambda x: x[1])[0].hint = None
+
+
 def _common(nodes: list[Element]) -> Element:
     """The deepest element that holds all of them."""
     top = nodes[0]
@@ -255,8 +291,9 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     memo: dict[int, bool] = {}
-    blocks = [b for b in blocks_of(page) if not _set_aside(b.node, memo, forms=False)]
+    blocks = [b for b in blocks_of(page) if not _hidden(b.node, memo)]
     _free_forms(blocks)
+    _free_hints(blocks)
     memo = {}
     blocks = [b for b in blocks if not _set_aside(b.node, memo)]
     if not blocks:

@@ -331,6 +331,23 @@ def test_extract_edges(spark):
     assert sorted([tuple(r) for r in html.main_text(pages).collect()], key=str) == sorted([(1, None, "", 0), (None, "u", "x, y.", 5)], key=str)
 
 
+@pytest.mark.parametrize("wrapper", ['class="post comments-open"', 'class="content has-sidebar"', 'id="social-science"', 'class="article-share-enabled"'])
+def test_extract_wrappers_named_like_asides(wrapper):
+    paragraphs = ["The first paragraph has a sentence, and it goes on for a while.", "The second one, too, is made of words: as many as it takes."]
+    body = f"<div {wrapper}>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>"
+    assert html.extract(f"<html><body><nav><a href=/>Home</a></nav>{body}</body></html>") == "\n".join(paragraphs)
+    assert html.extract(f"<article><p>{paragraphs[0]}</p></article><div id=comments><p>{paragraphs[1] * 40}</p></div>") == paragraphs[0]
+
+
+def test_extract_deep_and_stray_tags():
+    import time
+
+    began = time.time()
+    assert html.extract("<div>" * 100_000 + "<p>deep text, here.</p>") == "deep text, here."
+    assert html.extract("<div>" * 3000 + "</b>" * 100_000 + "<p>deep text, here.</p>") == "deep text, here."
+    assert time.time() - began < 20
+
+
 def test_extract_articles_side_by_side():
     parts = [" ".join(f"Sentence {k} of part {p}, which goes on, and on." for k in range(n)) for p, n in enumerate((8, 6, 6))]
     assert html.extract(PAGE % "".join(f"<article><p>{x}</p></article>" for x in parts)) == "\n".join(parts)
