@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+from compare import rows_of, rows_sql
 from pyspark.sql import functions as F
 
 from faultlens.plans import catalogue
@@ -94,3 +95,27 @@ def test_bootstraps_take_the_references_replicates(spark, data):
     low, high, n = rows(spark, data, "bootstrap_interval")[0]
     assert n == 1000 and np.allclose([low, high], np.percentile([m for _, m in reps], [2.5, 97.5]), atol=2e-6)
     assert [r[2] for r in rows(spark, data, "seeded_bootstrap")] == [1000]
+
+
+def duckdb_of(d, *tables):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet/*.parquet')")
+    return con
+
+
+@pytest.fixture(scope="module")
+def split_tables(spark, tmp_path_factory):
+    """90 customers, of which 0.70 falls short of 63 in floating point, each with an order or more."""
+    d = str(tmp_path_factory.mktemp("split"))
+    spark.createDataFrame([(k,) for k in range(90)], "c_custkey long").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(k, k % 90, "OFP"[k % 7 % 3]) for k in range(200)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+def test_split_takes_exact_shares(spark, split_tables):
+    sizes = Counter(r["partition"] for r in catalogue.QUERIES["group_split"](spark, split_tables).collect())
+    assert sizes == {"DEV_TRAIN": 63, "DEV_CALIBRATION": 13, "DEV_SITE_TEST": 14}
+    assert rows_of(catalogue.QUERIES["group_split"](spark, split_tables)) == rows_sql(duckdb_of(split_tables, "customer"), catalogue.ORACLE_SQL["group_split"])
