@@ -119,3 +119,17 @@ def test_split_takes_exact_shares(spark, split_tables):
     sizes = Counter(r["partition"] for r in catalogue.QUERIES["group_split"](spark, split_tables).collect())
     assert sizes == {"DEV_TRAIN": 63, "DEV_CALIBRATION": 13, "DEV_SITE_TEST": 14}
     assert rows_of(catalogue.QUERIES["group_split"](spark, split_tables)) == rows_sql(duckdb_of(split_tables, "customer"), catalogue.ORACLE_SQL["group_split"])
+
+
+def test_partition_statistics_equals_sql(spark, split_tables, tmp_path):
+    def same(d):
+        got = rows_of(catalogue.QUERIES["partition_statistics"](spark, d))
+        assert got == rows_sql(duckdb_of(d, "customer", "orders"), catalogue.ORACLE_SQL["partition_statistics"])
+        return got[1]
+
+    assert len(same(split_tables)) == 3
+    # 41/640 = 0.0640625, a tie at the sixth place
+    d = str(tmp_path)
+    spark.createDataFrame([(k,) for k in range(90)], "c_custkey long").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(k, 7, "F" if k < 41 else "O") for k in range(640)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
+    assert same(d)[0][-1] == "0.064062"
