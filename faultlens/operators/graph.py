@@ -63,17 +63,19 @@ def adjacency(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
     summed = entries.unionByName(loops).groupBy("node", "other").agg(F.sum("w").alias("w"))
     # a node's total is summed in parts, so that a hub is no long task
     total = entries.unionByName(loops).groupBy(F.col("node").alias("_node")).agg(F.sum("w").alias("_all"))
-    return summed.join(total, F.col("node") == F.col("_node")).select("node", "other", (F.col("w") / F.col("_all")).alias("weight"))
+    return summed.join(total.hint("merge"), F.col("node") == F.col("_node")).select("node", "other", (F.col("w") / F.col("_all")).alias("weight"))
 
 
 def propagate(weights: DataFrame, state: DataFrame, columns: Sequence[str], hops: int) -> list[DataFrame]:
     """States after 1..hops steps of weighted averaging: each (node, columns).
 
-    A hop is one join and one aggregation; each is stored, which cuts the lineage.
+    A hop is one join and one aggregation; each is stored, which cuts the lineage. The joins of this
+    module's features are told to merge: a table with a row per node takes little as a file, by which
+    the optimizer would choose a broadcast, and many times that on the driver.
     """
     out = []
     for _ in range(hops):
-        met = weights.join(state.withColumnRenamed("node", "other"), "other")
+        met = weights.join(state.withColumnRenamed("node", "other").hint("merge"), "other")
         state = stored(met.groupBy("node").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns]), "hop")
         out.append(state)
     return out
@@ -96,7 +98,7 @@ def graph_features(edges: DataFrame, nodes: DataFrame, base: DataFrame, columns:
         # stored: each hop reads the weights, which come from all branches
         for state in propagate(stored(adjacency(edges, nodes, direction), "weights"), base, columns, hops):
             part += 1
-            out = out.join(state.select("node", F.array(*columns).alias(f"h{part}")), "node")
+            out = out.join(state.select("node", F.array(*columns).alias(f"h{part}")).hint("merge"), "node")
     return out.select("node", F.concat(*[F.col(f"h{k}") for k in range(part + 1)]).alias("features"))
 
 

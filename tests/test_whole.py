@@ -133,3 +133,18 @@ def test_partition_statistics_equals_sql(spark, split_tables, tmp_path):
     spark.createDataFrame([(k,) for k in range(90)], "c_custkey long").write.parquet(f"{d}/customer.parquet")
     spark.createDataFrame([(k, 7, "F" if k < 41 else "O") for k in range(640)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
     assert same(d)[0][-1] == "0.064062"
+
+
+def test_k_hop_features_broadcasts_no_table_of_nodes(spark, data, monkeypatch):
+    from faultlens.operators import graph
+
+    plans = []
+
+    def stored(df, name, keep=graph.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(graph, "stored", stored)
+    plans.append(catalogue.QUERIES["k_hop_features"](spark, data)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 9  # two of weights, six hops, the result
+    assert not [p for p in plans if "Broadcast" in p]
