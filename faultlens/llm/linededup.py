@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import discard, ranged, release, running, stored
+from faultlens.llm import common
+from faultlens.llm.common import discard, ranged, release, running
 
 #: The token count table has a bucket for each BUCKET_WORDS words, within these bounds, as a power of two. It goes to every task, one byte a bucket.
 BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 12, 1 << 21
@@ -19,8 +20,8 @@ BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 12, 1 << 21
 FILTER_BITS = 1 << 23
 #: Jaccard threshold, as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
-#: Bits of 64 that an odd number of a line's words fall on, for half of the words each; a shift takes the low six bits of its count.
-PARITY = ", ".join(f"aggregate(hs, 0L, (acc, h) -> if(h & 64 = {64 * k}, acc ^ shiftleft(1L, h), acc)) as m{k}" for k in range(2))
+#: Bits of 64 that an odd number of a line's words fall on: of all words, and of those whose digest has its sign bit. A shift takes the low six bits of its count.
+PARITY = "aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(1L, h)) as m0, aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(cast(shiftrightunsigned(h, 31) as long), h)) as m1"
 MAP = [f"m{k}" for k in range(2)]
 #: Bits of the parity map in a key row, and the largest number of words beside it.
 MAP_BITS = 52
@@ -32,10 +33,22 @@ CODE_BITS = 24
 ADDED = ("removed", "kept_text", "n_lines")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """common.stored, with the step's shuffle files deleted when it ends, not when the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return common.stored(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def words(text: str) -> str:
-    """SQL of the words of a text without line feeds; splitting by a single space needs no regular expression."""
+    """SQL of the words of a text without line feeds; splitting by a single space needs no regular expression, and most texts no removal of empty words."""
     other = " or ".join(f"contains({text}, '{c}')" for c in (r"\t", r"\u000B", r"\f", r"\r"))
-    return rf"array_remove(split(if({other}, regexp_replace({text}, '[\\t\\x0B\\f\\r]', ' '), {text}), ' '), '')"
+    empty = f"{text} = '' or startswith({text}, ' ') or endswith({text}, ' ') or contains({text}, '  ')"
+    return rf"if({other} or {empty}, array_remove(split(regexp_replace({text}, '[\\t\\x0B\\f\\r]', ' '), ' '), ''), split({text}, ' '))"
 
 
 def token_lines(texts: DataFrame, bits: int) -> DataFrame:
@@ -59,7 +72,7 @@ def token_levels(lines: DataFrame, buckets: int) -> DataFrame:
 
 
 def prefixed(lines: DataFrame, levels: DataFrame, buckets: int) -> DataFrame:
-    """(k1, k2, rank, n, tokens, m0, m1): distinct words, the rarest of them in order, and a parity bit map of all.
+    """(k1, k2, rank, n, tokens, m0, m1): distinct words, the rarest of them in order, and parity bit maps.
 
     A token's code is its level before bits of its digest: codes ascend with frequency, and any fixed
     order of all tokens keeps prefix filtering exact, as does one code for two tokens.
@@ -102,7 +115,7 @@ def _tests(a: str, b: str) -> str:
     """The tests that no pair at the threshold fails: length and bit map."""
     total = f"({a}.n + {b}.n)"
     least = f"cast(({NUM} * {total} + {NUM + DEN - 1}) div {NUM + DEN} as int)"
-    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and {' + '.join(f'bit_count({a}.{m} ^ {b}.{m})' for m in MAP)} <= {total} - 2 * {least}"
+    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and bit_count({a}.m0 ^ {a}.m1 ^ {b}.m0 ^ {b}.m1) + bit_count({a}.m1 ^ {b}.m1) <= {total} - 2 * {least}"
 
 
 def keys_of(classes: DataFrame, *columns: str) -> DataFrame:
@@ -120,7 +133,7 @@ def shared_keys(classes: DataFrame, tokens: int) -> DataFrame:
     number of tasks follows.
     """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folded = f"(m0 ^ m1) & {MAP_MASK}L ^ shiftrightunsigned(m0 ^ m1, {MAP_BITS})"
+    folded = f"m0 & {MAP_MASK}L ^ shiftrightunsigned(m0, {MAP_BITS})"
     rows = keys_of(classes.withColumn("w", F.expr(f"shiftleft(cast(least(n, {MOST_N}) as long), {MAP_BITS}) | ({folded})")), "w")
     rows = rows.repartition(max(parts, 2 * tokens // (5 * KEY_ROWS)), "key")
     n = F.expr(f"shiftrightunsigned(w, {MAP_BITS})")

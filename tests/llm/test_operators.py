@@ -1,8 +1,11 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -659,3 +662,30 @@ def test_proximity(spark):
     index = decontam.build_index(df)
     got = sorted(r.doc_id for r in decontam.proximity(index, ["Alpha beta"], slop=1).collect())
     assert got == [1, 2]
+
+
+def test_line_words_and_maps_equal_plain_ones(spark):
+    rows = ["", " ", "a", " a", "a ", "a  b", "a\tb c", "\x0b\x0ca\rb", "a b a", "\u00a0 x"]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").selectExpr("t", f"{linededup.words('t')} as w").collect()
+    assert [(r.t, r.w) for r in got] == [(t, [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for t in rows]
+    hs = [1, -1, 64, 70, -70, 2**31 - 1, -(2**31)]
+    m = spark.createDataFrame([(hs,)], "hs array<int>").selectExpr(*linededup.PARITY.split(", aggregate")[:1], "aggregate" + linededup.PARITY.split(", aggregate")[1]).first()
+    every = signed = 0
+    for h in hs:
+        every ^= 1 << h % 64
+        signed ^= (h < 0) << h % 64
+    assert (m.m0 % 2**64, m.m1 % 2**64) == (every, signed)
+
+
+def test_line_steps_leave_no_shuffle_files(spark):
+    def files():
+        store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {p for d in store.localDirs() for p in Path(d.getPath()).rglob("shuffle_*")}
+
+    before = files()
+    linededup.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "x")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
