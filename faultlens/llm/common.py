@@ -40,15 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and a value that
-    depends on row positions is computed once.
+    depends on row positions is computed once. options: of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back

@@ -21,8 +21,13 @@ FILTER_BITS = 1 << 23
 #: Jaccard threshold, as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
 #: Bits of 64 that an odd number of a line's words fall on: of all words, and of those whose digest has its sign bit. A shift takes the low six bits of its count.
-PARITY = "aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(1L, h)) as m0, aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(cast(shiftrightunsigned(h, 31) as long), h)) as m1"
+EVERY, SIGNED = "aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(1L, h))", "aggregate(hs, 0L, (acc, h) -> acc ^ shiftleft(cast(shiftrightunsigned(h, 31) as long), h))"
+PARITY = f"{EVERY} as m0, {SIGNED} as m1"
 MAP = [f"m{k}" for k in range(2)]
+#: Words above which a line has both maps: on fewer, the first alone tells nearly all unlike lines apart.
+LONG = 64
+#: Whether a line has words: most begin with one, which needs no regular expression.
+WORDED = r"({0} >= '!' or {0} rlike r'[^\x20\x09-\x0D]')"
 #: Bits of the parity map in a key row, and the largest number of words beside it.
 MAP_BITS = 52
 MAP_MASK, MOST_N = (1 << MAP_BITS) - 1, (1 << 63 - MAP_BITS) - 1
@@ -34,12 +39,15 @@ ADDED = ("removed", "kept_text", "n_lines")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """common.stored, with the step's shuffle files deleted when it ends, not when the driver happens to collect its garbage."""
+    """common.stored, with the step's shuffle files deleted when it ends, not when the driver happens to collect its garbage.
+
+    Without dictionaries, which the many digests outgrow: columns that begin with one cost more to write and to read.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return common.stored(df, name)
+        return common.stored(df, name, **{"parquet.enable.dictionary": "false"})
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
 
@@ -54,7 +62,7 @@ def words(text: str) -> str:
 def token_lines(texts: DataFrame, bits: int) -> DataFrame:
     """(rank, k1, k2, hs): every line with words, two digests of it, and a digest of each distinct word."""
     # not by the size of hs: a filter below the projection would make all digests twice
-    worded = line_rows(texts, bits).filter(r"line rlike r'[^\x20\x09-\x0D]'")
+    worded = line_rows(texts, bits).filter(WORDED.format("line"))
     return worded.select("rank", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), F.col("line")).alias("k2"), F.expr(f"transform(array_distinct({words('line')}), w -> hash(w))").alias("hs"))
 
 
@@ -63,11 +71,12 @@ def token_levels(lines: DataFrame, buckets: int) -> DataFrame:
 
     0 means in one line only; above, four levels to each doubling of the count over all lines.
     """
-    counts = lines.select(F.explode("hs").alias("h")).select(F.expr(f"h & {buckets - 1}").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    level = F.when(F.coalesce("n", F.lit(0)) < 2, 0).otherwise(F.least(F.lit(127), F.floor(4 * F.log2("n"))))
-    full = lines.sparkSession.range(0, buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    full = full.select(F.shiftright("b", 10).alias("hi"), "b", level.cast("tinyint").alias("n"))
-    rows = full.groupBy("hi").agg(F.expr("transform(array_sort(collect_list(struct(b, n))), x -> x.n)").alias("part"))
+    # a row more for each bucket, so that none is missing and none need be joined
+    every = lines.sparkSession.range(0, buckets).select(F.col("id").cast("int").alias("b"))
+    counts = lines.select(F.explode("hs").alias("h")).select(F.expr(f"h & {buckets - 1}").alias("b")).unionAll(every).groupBy("b").agg((F.count(F.lit(1)) - 1).alias("n"))
+    level = F.when(F.col("n") < 2, 0).otherwise(F.least(F.lit(127), F.floor(4 * F.log2("n"))))
+    full = counts.select(F.shiftright("b", 10).alias("hi"), (F.shiftleft("b", 7) + level.cast("int")).alias("x"))
+    rows = full.groupBy("hi").agg(F.expr("transform(sort_array(collect_list(x)), x -> cast(x & 127 as tinyint))").alias("part"))
     return rows.agg(F.expr("flatten(transform(array_sort(collect_list(struct(hi, part))), x -> x.part))").alias("levels"))
 
 
@@ -88,8 +97,10 @@ def prefixed(lines: DataFrame, levels: DataFrame, buckets: int) -> DataFrame:
     levels.createOrReplaceTempView(view)
     lines.createOrReplaceTempView(view + "_lines")
     # the scalar subquery brings the table to the tasks once, as a value of bounded size, and is read in place; a generator above it would copy it into each row
-    code = f"shiftleft(cast(levels[h & {buckets - 1}] as int), {CODE_BITS}) | shiftrightunsigned(h, {32 - CODE_BITS})"
-    coded = lines.sparkSession.sql(f"select k1, k2, rank, size(hs) as n, {PARITY}, sort_array(transform(hs, h -> {code})) as codes from (select *, (select levels from {view}) as levels from {view}_lines)")
+    # coalesce: an array that can't hold null is sorted as one of primitive values
+    code = f"coalesce(shiftleft(cast(levels[h & {buckets - 1}] as int), {CODE_BITS}) | shiftrightunsigned(h, {32 - CODE_BITS}), 0)"
+    maps = f"{EVERY} as m0, if(size(hs) > {LONG}, {SIGNED}, 0L) as m1"
+    coded = lines.sparkSession.sql(f"select k1, k2, rank, size(hs) as n, {maps}, sort_array(transform(hs, h -> {code})) as codes from (select *, (select levels from {view}) as levels from {view}_lines)")
     return coded.select("k1", "k2", "rank", "n", *MAP, F.expr("if(n = 1, array(codes[0], codes[0]), slice(codes, 1, 2 * n div 5 + 2))").alias("tokens"))
 
 
@@ -112,32 +123,32 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _tests(a: str, b: str) -> str:
-    """The tests that no pair at the threshold fails: length and bit map."""
+    """The tests that no pair at the threshold fails: length and bit maps, of which two long lines have both."""
     total = f"({a}.n + {b}.n)"
     least = f"cast(({NUM} * {total} + {NUM + DEN - 1}) div {NUM + DEN} as int)"
-    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and bit_count({a}.m0 ^ {a}.m1 ^ {b}.m0 ^ {b}.m1) + bit_count({a}.m1 ^ {b}.m1) <= {total} - 2 * {least}"
+    return f"{DEN} * least({a}.n, {b}.n) >= {NUM} * greatest({a}.n, {b}.n) and bit_count({a}.m0 ^ {b}.m0) <= {total} - 2 * {least} and (least({a}.n, {b}.n) <= {LONG} or bit_count({a}.m0 ^ {a}.m1 ^ {b}.m0 ^ {b}.m1) + bit_count({a}.m1 ^ {b}.m1) <= {total} - 2 * {least})"
 
 
 def keys_of(classes: DataFrame, *columns: str) -> DataFrame:
     """(key, columns) for each key of each line; keys of a token counted once are in one line only and left out."""
-    pairs = classes.selectExpr(*columns, "inline(arrays_zip(slice(tokens, 1, size(tokens) - 1), slice(tokens, 2, size(tokens) - 1))) as (x, y)").filter(f"x >= {1 << CODE_BITS}")
-    return pairs.select(F.expr("shiftleft(cast(x as long), 32) | y").alias("key"), *columns)
+    pairs = classes.selectExpr(*columns, "tokens", "posexplode(slice(tokens, 1, size(tokens) - 1)) as (i, x)").filter(f"x >= {1 << CODE_BITS}")
+    return pairs.select(F.expr("shiftleft(cast(x as long), 32) | tokens[i + 1]").alias("key"), *columns)
 
 
 def shared_keys(classes: DataFrame, tokens: int) -> DataFrame:
     """(key): keys of two lines or more that may match.
 
     A row carries its line's number of words, up to MOST_N, above a parity map of all its words. Of a
-    key with just two rows, which most chance meetings are, both numbers and the maps' exclusive or come
-    out of the aggregation, and lines that can't match go. tokens: words of all lines, from which the
+    key with just two rows, which most chance meetings are, the least and greatest are both of them, and
+    lines that can't match go. tokens: words of all lines, from which the
     number of tasks follows.
     """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folded = f"m0 & {MAP_MASK}L ^ shiftrightunsigned(m0, {MAP_BITS})"
     rows = keys_of(classes.withColumn("w", F.expr(f"shiftleft(cast(least(n, {MOST_N}) as long), {MAP_BITS}) | ({folded})")), "w")
     rows = rows.repartition(max(parts, 2 * tokens // (5 * KEY_ROWS)), "key")
-    n = F.expr(f"shiftrightunsigned(w, {MAP_BITS})")
-    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.expr(f"bit_xor(w & {MAP_MASK}L)").alias("d"))
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("w").alias("a"), F.max("w").alias("b"))
+    per = per.selectExpr("key", "c", f"shiftrightunsigned(a, {MAP_BITS}) as lo", f"shiftrightunsigned(b, {MAP_BITS}) as hi", f"(a ^ b) & {MAP_MASK}L as d")
     alike = f"{DEN} * lo >= {NUM} * hi and bit_count(d) <= lo + hi - 2 * (({NUM} * (lo + hi) + {NUM + DEN - 1}) div {NUM + DEN})"
     return per.filter(f"c > 2 or c = 2 and (hi = {MOST_N} or {alike})").select("key")
 
@@ -245,8 +256,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     inside = "_num is not null and text is not null and _bit"
     whole = marked.filter(f"not coalesce({inside}, false)").select("_row", "text", F.expr("cast(array() as array<int>)").alias("removed"))
     part = marked.filter(inside).join(owned, F.col("_num") == F.col("_own"), "left").withColumn("_lines", F.split("text", "\n"))
-    gone = "filter(sequence(0, size(_lines) - 1), i -> _lines[i] rlike r'[^\x20\x09-\x0D]' and not array_contains(coalesce(_kept, array()), i))"
+    gone = f"filter(sequence(0, size(_lines) - 1), i -> not array_contains(coalesce(_kept, array()), i) and {WORDED.format('_lines[i]')})"
     out = whole.unionByName(part.select("_row", "text", F.expr(f"explode(array({gone}))").alias("removed")))
     rest_of = F.expr("concat_ws('\n', filter(split(text, '\n'), (l, i) -> not array_contains(removed, i)))")
     kept_text = F.when(F.size("removed") == 0, F.col("text")).otherwise(rest_of)
-    return out.select(*[F.col("_row")[c].alias(c) for c in names], "removed", kept_text.alias("kept_text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], "removed", kept_text.alias("kept_text"), F.expr(r"coalesce(octet_length(text) - octet_length(replace(text, '\n', '')) + 1, 0)").alias("n_lines"))
