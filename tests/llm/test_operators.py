@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from brute import components, lowered, near_links, prose, shingles, words
 from pyspark.sql import functions as F
@@ -689,3 +690,18 @@ def test_line_steps_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_line_tables_are_plain(spark):
+    """Arrays are sorted as primitive values, one map for short lines, no join for the levels, and tables with neither dictionaries nor a group around each element."""
+    texts = spark.createDataFrame([(1, "a b c\n x\n\n \t"), (2, " ".join(f"w{i}" for i in range(linededup.LONG + 1)))], "_num long, text string")
+    lines = linededup.stored(linededup.token_lines(texts, 31), "lines")
+    assert sorted((r["rank"], len(r.hs)) for r in lines.collect()) == [(1 << 31, 3), ((1 << 31) + 1, 1), (2 << 31, linededup.LONG + 1)]
+    file = next(f for f in Path(lines.stored_at.removeprefix("file:")).glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows)
+    columns = [pq.ParquetFile(file).metadata.row_group(0).column(k) for k in range(4)]
+    assert [c.path_in_schema for c in columns] == ["rank", "k1", "k2", "hs.array"] and not any(c.has_dictionary_page for c in columns)
+    levels = linededup.token_levels(lines, 1 << 12)
+    assert "Join" not in levels._jdf.queryExecution().optimizedPlan().toString()
+    got = linededup.prefixed(lines, linededup.stored(levels, "levels"), 1 << 12)
+    assert not got.schema["tokens"].dataType.containsNull
+    assert [bool(r.m1) for r in got.orderBy("rank").collect()] == [False, False, True]
